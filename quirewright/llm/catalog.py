@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirewright.functions.packed import folded, is_missing
-from quirewright.llm import copies, frequent, terms
+from quirewright.llm import copies, frequent, places, terms
 from quirewright.operators.packed import packed_rows
 from quirewright.plans import packed_sql as ps
 from quirewright.sources.tables import table
@@ -52,6 +52,20 @@ def p3_top(spark: SparkSession, folder: str) -> DataFrame:
     return frequent.top_items(named_items(spark, folder), 50)
 
 
+def mapped(spark: SparkSession, folder: str) -> DataFrame:
+    reference = table(spark, folder, "place_reference")
+    return places.mapped_places(table(spark, folder, "master"), reference, "row_id", "publisher_city", "publisher_province")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return mapped(spark, folder).select("row_id", "place_id")
+
+
+def p4_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """The typed places that have no entry, with how many records hold them."""
+    return places.unmatched_values(mapped(spark, folder))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_collapsed": p1_collapsed,
@@ -59,6 +73,8 @@ QUERIES = {
     "p2_terms": p2_terms,
     "p3_found": p3_found,
     "p3_top": p3_top,
+    "p4_found": p4_found,
+    "p4_unmatched": p4_unmatched,
 }
 
 _KEYS = " , ".join(f"regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS c{i}" for i, c in enumerate(COPY_COLUMNS))
