@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirewright.functions.packed import folded, is_missing
-from quirewright.llm import copies, frequent, places, terms
+from quirewright.llm import copies, frequent, leakage, mixture, places, spans, terms
 from quirewright.operators.packed import packed_rows
 from quirewright.plans import packed_sql as ps
 from quirewright.sources.tables import table
@@ -66,6 +66,51 @@ def p4_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     return places.unmatched_values(mapped(spark, folder))
 
 
+def leaks(spark: SparkSession, folder: str) -> DataFrame:
+    items = table(spark, folder, "eval_items")
+    return leakage.leaked(table(spark, folder, "documents"), "doc_id", "text", items, "item_id", "item_text")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks(spark, folder).select("item_id", "doc_id")
+
+
+def p8_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Each leaked item with the number of documents that hold it and the longest shared run."""
+    return leaks(spark, folder).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("shared_words").alias("longest_run"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    _, report = mixture.half_mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+    return report.where("falls_short").select("source")
+
+
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The mix itself."""
+    mix, _ = mixture.half_mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+    return mix
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares actually reached."""
+    return mixture.half_mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.shared_windows(table(spark, folder, "documents"), "doc_id", "text").select("doc_id").distinct()
+
+
+def p10_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """The stretches that stand in other documents too."""
+    return spans.shared_spans(spans.shared_windows(table(spark, folder, "documents"), "doc_id", "text"))
+
+
+def p10_shared(spark: SparkSession, folder: str) -> DataFrame:
+    """For each document, how much of it is found elsewhere."""
+    documents = table(spark, folder, "documents")
+    return spans.shared_parts(documents, "doc_id", "text", p10_spans(spark, folder)).withColumn("shared_share", F.round("shared_share", 9))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_collapsed": p1_collapsed,
@@ -75,6 +120,14 @@ QUERIES = {
     "p3_top": p3_top,
     "p4_found": p4_found,
     "p4_unmatched": p4_unmatched,
+    "p8_found": p8_found,
+    "p8_items": p8_items,
+    "p9_found": p9_found,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_spans": p10_spans,
+    "p10_shared": p10_shared,
 }
 
 _KEYS = " , ".join(f"regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS c{i}" for i, c in enumerate(COPY_COLUMNS))
@@ -96,6 +149,22 @@ WITH i AS (SELECT 'publication_title' AS field_name, {ps.folded('publication_tit
     UNION ALL SELECT 'authors', {ps.folded('a')} FROM (SELECT unnest({ps.item_list('authors')}) AS a FROM master)),
 c AS (SELECT field_name, item, count(*) AS n FROM i GROUP BY ALL)
 """
+_LEAKS = """
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(lower(item_text), '[\\p{L}\\p{N}]+') AS w FROM eval_items),
+dg AS (SELECT doc_id, hash(w[p:p + 12]) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d)),
+ig AS (SELECT item_id, hash(w[p:p + 12]) AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS p FROM i))
+SELECT DISTINCT item_id, doc_id FROM dg JOIN ig USING (g)
+"""
+_SHARED = """
+WITH w AS (SELECT doc_id, p, md5(substr(text, p, 160)) AS h
+    FROM (SELECT doc_id, text, unnest(range(1, length(text) - 158)) AS p FROM documents)),
+r AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+s AS (SELECT DISTINCT doc_id, p - 1 AS p FROM w SEMI JOIN r USING (h)),
+g AS (SELECT doc_id, p, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 160, false) AS gap FROM s),
+n AS (SELECT doc_id, p, sum(CAST(gap AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM g),
+x AS (SELECT doc_id, min(p) AS span_start, max(p) - min(p) + 160 AS span_length FROM n GROUP BY doc_id, island)
+"""
 
 ORACLE = {
     "p1_found": _COPIES + "SELECT first AS row_id_a, row_id AS row_id_b FROM g WHERE row_id <> first",
@@ -103,6 +172,13 @@ ORACLE = {
     "p2_found": _TERMS + "SELECT field_name, term, mark FROM m WHERE mark IS NOT NULL",
     "p2_terms": _TERMS + "SELECT field_name, term, occurrences, records, round(share, 9) AS share, coalesce(mark, '-') AS mark FROM m",
     "p3_found": _NAMED + "SELECT field_name, item FROM c QUALIFY n >= 0.005 * sum(n) OVER (PARTITION BY field_name)",
+    "p8_found": _LEAKS,
+    "p10_found": _SHARED + "SELECT DISTINCT doc_id FROM x",
+    "p10_spans": _SHARED + "SELECT * FROM x",
+    "p10_shared": _SHARED
+    + """SELECT d.doc_id, d.n_chars, CAST(coalesce(sum(span_length), 0) AS BIGINT) AS shared_chars, count(span_length) AS spans,
+round(coalesce(sum(span_length), 0) / d.n_chars, 9) AS shared_share
+FROM documents d LEFT JOIN x ON x.doc_id = d.doc_id GROUP BY d.doc_id, d.n_chars""",
     "p3_top": _NAMED
     + """SELECT field_name, item, n, CAST(row_number() OVER (PARTITION BY field_name ORDER BY n DESC, item) AS INTEGER) AS rank
 FROM c QUALIFY rank <= 50""",
