@@ -19,3 +19,20 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     hot = F.broadcast(groups.where(F.col(size) > limit))
     cold = groups.where(F.col(size) <= limit)
     return rows.join(hot, keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
+
+
+def with_group_columns(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Left join of ``rows`` with ``groups`` on one 128-bit ``key``: the columns of ``groups``, null where there is none.
+
+    Rows of hot keys get their group by broadcast. For the shuffled join they are given a key of their own, which
+    matches nothing, so they spread over all tasks.
+    """
+    values = [c for c in groups.columns if c != key]
+    limit = total // HOT_PARTS
+    hot = F.broadcast(groups.where(F.col(size) > limit).select(key, F.struct(*values).alias("_hot")))
+    cold = groups.where(F.col(size) <= limit).select(F.col(key).alias("_key"), F.struct(*values).alias("_cold"))
+    marked = rows.join(hot, key, "left")
+    spread = F.when(F.col("_hot").isNotNull(), F.unhex(F.md5(F.concat(key, F.monotonically_increasing_id().cast("string"))))).otherwise(F.col(key))
+    joined = marked.withColumn("_spread", spread).join(cold, F.col("_spread") == F.col("_key"), "left")
+    got = F.coalesce("_hot", "_cold")
+    return joined.select(*rows.columns, *(got[c].alias(c) for c in values))

@@ -52,3 +52,71 @@ def require(have: list[str], need: list[str], what: str) -> None:
     absent = [c for c in need if c not in have]
     if absent:
         raise MissingColumns(f"{what} lacks the columns {', '.join(absent)}")
+
+DERIVED_COLUMNS = [
+    "source_partition",
+    "partition_family",
+    "publication_date",
+    "year",
+    "decade",
+    "publisher_city_normalized",
+    "publisher_province_normalized",
+    "publisher_region",
+    "publisher_location_normalized",
+    "primary_author",
+    "author_count",
+    "subject_term_count",
+    "class_term_count",
+    "company_count",
+    "pages_numeric",
+]
+CLEAN_COLUMNS = TEXT_COLUMNS + DERIVED_COLUMNS
+
+LEXICON_CATEGORIES = ("positive", "negative", "uncertainty", "litigious", "constraining", "strong_modal", "weak_modal")
+DUPLICATE_FLAGS = [
+    "duplicate_goid",
+    "duplicate_exact_title_date_publication",
+    "duplicate_normalized_title_date_publication",
+    "duplicate_title_date",
+    "is_conservative_duplicate_extra",
+]
+#: The columns of the feature table, in order.
+FEATURE_COLUMNS = [
+    "goid",
+    "source_partition",
+    "partition_family",
+    "date",
+    "publication_date",
+    "year",
+    "decade",
+    "source_type",
+    "object_type",
+    "language",
+    "title_normalized",
+    "publication_title",
+    "publication_title_normalized",
+    "publication_title_canonical",
+    "publication_title_display",
+    "publication_id",
+    "publisher_name",
+    "publisher_city_normalized",
+    "publisher_province_normalized",
+    "publisher_region",
+    "publisher_location_normalized",
+    "primary_author",
+    "author_count",
+    "subject_term_count",
+    "class_term_count",
+    "company_count",
+    "pages_numeric",
+    *DUPLICATE_FLAGS,
+    "lm_token_count",
+    *(f"lm_{c}{end}" for c in LEXICON_CATEGORIES for end in ("", "_rate")),
+    "lm_net_tone",
+    "topic_id",
+    "topic_label",
+    "topic_weight",
+    "title_only_topic_id",
+    "title_only_topic_label",
+    "title_only_topic_weight",
+]
