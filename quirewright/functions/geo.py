@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quirewright.functions.text import clean, key, title_case
+from quirewright.functions.text import clean, key, let, title_case
 
 #: Codes of the United States and of Canada, and cities with a known state or country.
 US_STATES = (
@@ -38,17 +38,23 @@ def _lookup(table: dict[str, str], c: Column) -> Column:
 
 def publisher_location(city: Column, province: Column) -> Column:
     """Struct of city, province, region and location; an explicit province goes before a hint."""
-    city_text = clean(city)
-    city_key = key(F.replace(city_text, F.lit("."), F.lit(" ")))
-    state = F.coalesce(F.nullif(F.upper(key(province)), F.lit("")), _lookup(STATE_HINTS, city_key), F.lit(""))
-    name = F.coalesce(_lookup(CITY_HINTS, city_key), title_case(city_text))
-    country = _lookup(FOREIGN_CITIES, city_key)
-    region = (
-        F.when(state.isin(*US_STATES), F.lit("United States"))
-        .when(state.isin(*CANADIAN_PROVINCES) | city_key.isin(*CANADIAN_CITIES), F.lit("Canada"))
-        .when(country.isNotNull(), F.concat(F.lit("Non-US/Canada: "), country))
-        .when(name != "", F.lit("Unknown/Needs Review"))
-        .otherwise(F.lit("Missing publisher location"))
-    )
-    location = F.when(state != "", F.concat(name, F.lit(", "), state)).otherwise(name)
-    return F.struct(name.alias("city"), state.alias("province"), region.alias("region"), location.alias("location"))
+    city_key = key(F.replace(clean(city), F.lit("."), F.lit(" ")))
+    typed = F.struct(clean(city).alias("text"), city_key.alias("key"), F.upper(key(province)).alias("state"))
+
+    def named(t: Column) -> Column:
+        state = F.coalesce(F.nullif(t["state"], F.lit("")), _lookup(STATE_HINTS, t["key"]), F.lit(""))
+        name = F.coalesce(_lookup(CITY_HINTS, t["key"]), title_case(t["text"]))
+        return F.struct(name.alias("name"), state.alias("state"), t["key"].alias("key"), _lookup(FOREIGN_CITIES, t["key"]).alias("country"))
+
+    def located(n: Column) -> Column:
+        region = (
+            F.when(n["state"].isin(*US_STATES), F.lit("United States"))
+            .when(n["state"].isin(*CANADIAN_PROVINCES) | n["key"].isin(*CANADIAN_CITIES), F.lit("Canada"))
+            .when(n["country"].isNotNull(), F.concat(F.lit("Non-US/Canada: "), n["country"]))
+            .when(n["name"] != "", F.lit("Unknown/Needs Review"))
+            .otherwise(F.lit("Missing publisher location"))
+        )
+        location = F.when(n["state"] != "", F.concat(n["name"], F.lit(", "), n["state"])).otherwise(n["name"])
+        return F.struct(n["name"].alias("city"), n["state"].alias("province"), region.alias("region"), location.alias("location"))
+
+    return let(let(typed, named), located)

@@ -61,9 +61,9 @@ def duplicate_flags(df: DataFrame, order: list[str], rules: dict[str, tuple[str,
     flags = members.groupBy(*order).agg(
         *(F.max(F.col("rule") == r).alias(f"_{r}") for r in rules), F.max(extra).alias(f"_{EXTRA}")
     )
-    on = reduce(lambda a, b: a & b, (df[c].eqNullSafe(flags[c]) for c in order))
-    joined = df.join(flags, on, "left")
-    return joined.select(*(df[c] for c in df.columns), *(F.coalesce(flags[f"_{r}"], F.lit(False)).alias(r) for r in [*rules, EXTRA]))
+    named = flags.select(*(F.col(c).alias(f"_{c}") for c in order), *(f"_{r}" for r in [*rules, EXTRA]))
+    on = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in order))
+    return df.join(named, on, "left").select(*df.columns, *(F.coalesce(f"_{r}", F.lit(False)).alias(r) for r in [*rules, EXTRA]))
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from quirewright.functions.text import canonical_term, ratio
 from quirewright.schema import TEXT_COLUMNS
 
-ONE = F.lit(1)
 MISSING_LABEL = "<missing>"
 
 #: The fields that matter for analysis.
@@ -31,12 +30,12 @@ USABLE_FIELDS = (
 
 def row_counts(df: DataFrame) -> DataFrame:
     """All rows and English rows of each partition."""
-    return df.groupBy("source_partition").agg(F.count(ONE).alias("raw_rows"), F.count_if(F.col("language") == "English").alias("english_rows"))
+    return df.groupBy("source_partition").agg(F.count(F.lit(1)).alias("raw_rows"), F.count_if(F.col("language") == "English").alias("english_rows"))
 
 
 def missing_profile(df: DataFrame, columns: list[str] = TEXT_COLUMNS) -> DataFrame:
     """(column_name, missing_rows, missing_share) of every column in one pass; the share is of all rows."""
-    counts = df.agg(F.count(ONE).alias("n"), *(F.count_if(F.col(c).isNull()).alias(c) for c in columns))
+    counts = df.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col(c).isNull()).alias(c) for c in columns))
     each = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("missing_rows")) for c in columns))
     rows = counts.select("n", F.inline(each))
     return rows.select("column_name", "missing_rows", ratio(F.col("missing_rows"), F.col("n")).alias("missing_share"))
@@ -64,7 +63,7 @@ def frequencies(df: DataFrame, dimensions: dict[str, Column]) -> DataFrame:
     each = F.array(
         *(F.struct(F.lit(d).alias("dimension"), F.coalesce(c.cast("string"), F.lit(MISSING_LABEL)).alias("value")) for d, c in dimensions.items())
     )
-    return df.select(F.inline(each)).groupBy("dimension", "value").agg(F.count(ONE).alias("documents"))
+    return df.select(F.inline(each)).groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("documents"))
 
 
 def all_row_frequencies(df: DataFrame) -> DataFrame:
@@ -96,7 +95,7 @@ def term_frequencies(df: DataFrame) -> DataFrame:
         )
     )
     terms = df.select(F.inline(each)).select("dimension", F.explode("terms").alias("value"))
-    return terms.where("value <> ''").groupBy("dimension", "value").agg(F.count(ONE).alias("documents"))
+    return terms.where("value <> ''").groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("documents"))
 
 
 def most_frequent(counts: DataFrame, k: int) -> DataFrame:
@@ -123,7 +122,7 @@ def author_coverage(df: DataFrame, *groups: str) -> DataFrame:
         rows = rows.withColumn("source_type", F.coalesce("source_type", F.lit(MISSING_LABEL)))
     return _shares(
         rows.groupBy("decade", *groups).agg(
-            F.count(ONE).alias("documents"),
+            F.count(F.lit(1)).alias("documents"),
             F.count_if(F.col("author_count") > 0).alias("documents_with_author"),
             F.sum(F.col("author_count").cast("bigint")).alias("author_mentions"),
         )
@@ -148,7 +147,7 @@ def coverage_since(by_decade_and_source: DataFrame, first_decade: int = 2000) ->
 def partition_quality(df: DataFrame, validation: DataFrame | None = None) -> DataFrame:
     """Rows, English share, first and last date and invalid dates of each partition, with the file validation."""
     out = df.groupBy("source_partition").agg(
-        F.count(ONE).alias("raw_rows"),
+        F.count(F.lit(1)).alias("raw_rows"),
         F.count_if(F.col("language") == "English").alias("english_rows"),
         F.min("publication_date").alias("first_date"),
         F.max("publication_date").alias("last_date"),
@@ -168,7 +167,7 @@ def core_summary(df: DataFrame) -> DataFrame:
     """(metric, value): sizes, time range, invalid dates, number of source types and of English publications."""
     isenglish = F.col("language") == "English"
     one = df.agg(
-        F.count(ONE).alias("raw_documents"),
+        F.count(F.lit(1)).alias("raw_documents"),
         F.count_if(isenglish).alias("english_documents"),
         F.min("publication_date").alias("time_range_start"),
         F.max("publication_date").alias("time_range_end"),
@@ -182,7 +181,7 @@ def core_summary(df: DataFrame) -> DataFrame:
 def coverage_metrics(df: DataFrame) -> DataFrame:
     """(metric, value): rows, English rows and share, first and last date, invalid dates."""
     one = df.agg(
-        F.count(ONE).alias("raw_rows"),
+        F.count(F.lit(1)).alias("raw_rows"),
         F.count_if(F.col("language") == "English").alias("english_rows"),
         F.min("publication_date").alias("first_observed_date"),
         F.max("publication_date").alias("last_observed_date"),
@@ -199,7 +198,7 @@ def metadata_depth(df: DataFrame) -> DataFrame:
         df.where("decade IS NOT NULL")
         .groupBy("decade")
         .agg(
-            F.count(ONE).alias("documents"),
+            F.count(F.lit(1)).alias("documents"),
             F.avg(text("subject_terms")).alias("subject_term_coverage"),
             F.avg(text("class_terms")).alias("class_term_coverage"),
             F.avg(F.length("metadata_text")).alias("mean_text_length"),

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quirewright.functions.text import clean, joined_set, key, name_anchors, publication_key
 from quirewright.operators.duplicates import keep_first
@@ -17,7 +18,7 @@ from quirewright.session import broadcast_if_small, written
 LENGTH_BAND = 18
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def character_similarity(left: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Matching-blocks ratio of two keys, in this order; there is no built-in expression for it."""
     from difflib import SequenceMatcher
@@ -76,29 +77,30 @@ def compared_names(pairs: DataFrame, similarity: Column | None = None) -> DataFr
 
 
 def candidate_pairs(media: DataFrame) -> DataFrame:
-    """Pairs of names that the ladder can accept, larger publication on the left.
+    """Pairs of names that the ladder can accept, larger publication on the left (ties by name).
 
-    Every accepted pair has equal keys or shares at least two anchor words, so names are joined on pairs of their
-    anchors; nothing is lost, and a word that many names hold alone does not pair them all. The length band is part of
-    the rule, not a shortcut.
+    An accepted pair has equal keys or no conflict, and shares at least two anchor words, so the anchors of one name
+    are a subset of the other's. Each name is therefore joined by its rarest anchor only, to the names that hold it;
+    nothing is lost, and a word that many names hold does not pair them all. The length band is part of the rule.
     """
     names = media.select(
         F.col("publication_title_canonical").alias("name"), "documents", "publication_ids", clean(F.col("top_publisher")).alias("publisher")
     ).where("name IS NOT NULL")
-    words = F.array_sort(name_anchors(F.col("name")))
-    twos = F.flatten(
-        F.transform(words, lambda w, i: F.transform(F.slice(words, i + 2, F.greatest(F.size(words), F.lit(1))), lambda v: F.concat(w, F.lit(" "), v)))
-    )
-    blocks = F.concat(twos, F.array(F.concat(F.lit("="), key(F.col("name")))))
-    blocked = written(names.select("*", F.explode(F.array_distinct(blocks)).alias("block")), "name_blocks")
-    a, b = blocked.alias("a"), blocked.alias("b")
-    first = (F.col("a.documents") > F.col("b.documents")) | ((F.col("a.documents") == F.col("b.documents")) & (F.col("a.name") < F.col("b.name")))
+    anchors = name_anchors(F.col("name"))
+    anchors = F.when(F.size(anchors) == 0, F.array(F.lit(""))).otherwise(anchors)
+    words = written(names.withColumn("anchors", anchors).select("*", F.explode("anchors").alias("word")), "name_words")
+    frequency = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    rarest = words.join(frequency, "word").groupBy("name").agg(F.min(F.struct("n", "word")).alias("r")).select("name", F.col("r.word").alias("word"))
+    small = words.join(rarest, ["name", "word"], "left_semi")
+    a, b = small.alias("a"), words.alias("b")
     near = F.abs(F.length("a.name") - F.length("b.name")) <= LENGTH_BAND
+    inside = _subset(F.col("a.anchors"), F.col("b.anchors"))
+    joined = a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.name") != F.col("b.name")) & near & inside)
     ids = F.arrays_overlap(F.split(F.coalesce("a.publication_ids", F.lit("")), "; "), F.split(F.coalesce("b.publication_ids", F.lit("")), "; "))
-    joined = a.join(b, (F.col("a.block") == F.col("b.block")) & first & near)
+    first = (F.col("a.documents") > F.col("b.documents")) | ((F.col("a.documents") == F.col("b.documents")) & (F.col("a.name") < F.col("b.name")))
     return joined.select(
-        F.col("a.name").alias("left"),
-        F.col("b.name").alias("right"),
+        F.when(first, F.col("a.name")).otherwise(F.col("b.name")).alias("left"),
+        F.when(first, F.col("b.name")).otherwise(F.col("a.name")).alias("right"),
         ids.alias("shared_publication_id"),
         ((F.col("a.publisher") == F.col("b.publisher")) & (F.col("a.publisher") != "")).alias("shared_top_publisher"),
     ).distinct()

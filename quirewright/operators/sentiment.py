@@ -10,7 +10,6 @@ from quirewright.operators.summaries import top_values
 from quirewright.schema import LEXICON_CATEGORIES
 from quirewright.session import broadcast_if_small
 
-ONE = F.lit(1)
 
 
 def lexicon_members(lexicon: DataFrame) -> DataFrame:
@@ -39,6 +38,10 @@ def _category_arrays(members: DataFrame) -> dict[str, list[str]]:
     return words
 
 
+def _member_of(words: list[str]):
+    return lambda w: w.isin(*words)
+
+
 #: Words up to which the lexicon is put into the plan as literals, so that scoring needs no join.
 INLINE_WORDS = 2_000
 
@@ -53,7 +56,7 @@ def scores(df: DataFrame, text: str, members: DataFrame, row_id: list[str]) -> D
     if members.limit(INLINE_WORDS + 1).count() <= INLINE_WORDS:
         words = _category_arrays(members)
         out = df.withColumn("_words", tokens(F.col(text)))
-        counts = {c: F.size(F.filter("_words", lambda w, c=c: w.isin(*words[c]))) if words[c] else F.lit(0) for c in LEXICON_CATEGORIES}
+        counts = {c: F.size(F.filter("_words", _member_of(words[c]))) if words[c] else F.lit(0) for c in LEXICON_CATEGORIES}
         out = out.withColumns({"lm_token_count": F.size("_words").cast("bigint")} | {f"lm_{c}": n.cast("bigint") for c, n in counts.items()})
         return _rates(out.drop("_words"))
     exploded = df.select(*row_id, F.explode(tokens(F.col(text))).alias("word"))
@@ -77,7 +80,7 @@ def _sum_ratio(c: str) -> Column:
 def tone_by_decade_and_source(scored: DataFrame) -> DataFrame:
     """Mean net tone and ratios of sums (named mean rates) by decade and source type, null groups kept."""
     return scored.groupBy("decade", "source_type").agg(
-        F.count(ONE).alias("documents"),
+        F.count(F.lit(1)).alias("documents"),
         F.avg("lm_net_tone").alias("mean_net_tone"),
         *(_sum_ratio(f"lm_{c}").alias(f"mean_{c}_rate") for c in ("positive", "negative", "uncertainty")),
     )
@@ -85,7 +88,7 @@ def tone_by_decade_and_source(scored: DataFrame) -> DataFrame:
 
 def tone_by_decade(scored: DataFrame) -> DataFrame:
     return scored.groupBy("decade").agg(
-        F.count(ONE).alias("documents"),
+        F.count(F.lit(1)).alias("documents"),
         F.avg("lm_net_tone").alias("mean_net_tone"),
         *(F.sum(f"lm_{c}").alias(f"{c}_words") for c in ("positive", "negative", "uncertainty")),
         F.sum("lm_token_count").alias("tokens"),
@@ -100,7 +103,7 @@ def _facets(df: DataFrame, facets: list[str], *keep: Column) -> DataFrame:
 def group_sizes(df: DataFrame, facets: list[str]) -> DataFrame:
     """(facet, group_value, documents); a null source type counts as ``<missing>``, other null groups are left out."""
     rows = _facets(df, facets).withColumn("group_value", F.when(F.col("facet") == "source_type", F.coalesce("group_value", F.lit("<missing>"))).otherwise(F.col("group_value")))
-    return rows.where("group_value IS NOT NULL").groupBy("facet", "group_value").agg(F.count(ONE).alias("documents"))
+    return rows.where("group_value IS NOT NULL").groupBy("facet", "group_value").agg(F.count(F.lit(1)).alias("documents"))
 
 
 def group_terms(df: DataFrame, text: str, facets: list[str], k: int = 120) -> DataFrame:
@@ -116,4 +119,4 @@ def group_lexicon_totals(df: DataFrame, text: str, facets: list[str], members: D
     scored = scores(narrow.withColumn("_id", F.monotonically_increasing_id()), "_text", members, ["_id"])
     rows = _facets(scored, facets, F.col("lm_token_count"), *(F.col(f"lm_{c}") for c in LEXICON_CATEGORIES)).where("group_value IS NOT NULL")
     sums = [F.sum(f"lm_{c}").alias(f"lm_{c}") for c in LEXICON_CATEGORIES]
-    return rows.groupBy("facet", "group_value").agg(F.count(ONE).alias("documents"), F.sum("lm_token_count").alias("lm_token_count"), *sums)
+    return rows.groupBy("facet", "group_value").agg(F.count(F.lit(1)).alias("documents"), F.sum("lm_token_count").alias("lm_token_count"), *sums)

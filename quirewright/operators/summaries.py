@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from quirewright.functions.text import ratio
 
-ONE = F.lit(1)
 
 
 def top_values(df: DataFrame, groups: list[str], value: str, k: int) -> DataFrame:
@@ -15,7 +14,7 @@ def top_values(df: DataFrame, groups: list[str], value: str, k: int) -> DataFram
 
     Counts are summed partially before the shuffle, and each task keeps only its ``k`` best per group before ranking.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(ONE).alias("documents"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("documents"))
     rank = F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc("documents"), value))
     return counts.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -29,7 +28,7 @@ def _first_values(df: DataFrame, group: str, value: str, k: int) -> DataFrame:
 
 def _mode(df: DataFrame, group: str, value: str) -> DataFrame:
     """The most frequent non-null value of every group, the smallest of ties."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(ONE).alias("n"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy(group).agg(F.min(F.struct((-F.col("n")).alias("m"), F.col(value).alias("v"))).alias("s")).select(group, F.col("s.v").alias("values"))
 
 
@@ -40,7 +39,7 @@ def media_summary(df: DataFrame, group: str = "publication_title_canonical") ->
     is spread over its values. Groups are never null after normalisation.
     """
     base = df.groupBy(group).agg(
-        F.count(ONE).alias("documents"),
+        F.count(F.lit(1)).alias("documents"),
         F.min("year").alias("first_year"),
         F.max("year").alias("last_year"),
         F.avg("subject_term_count").alias("avg_subject_terms"),
@@ -52,7 +51,7 @@ def media_summary(df: DataFrame, group: str = "publication_title_canonical") ->
         "top_source_type": _mode(df, group, "source_type"),
         "top_publisher": _mode(df, group, "publisher_name"),
         "top_publisher_region": _mode(df, group, "publisher_region"),
-        "unique_authors": df.where("primary_author IS NOT NULL").select(group, "primary_author").distinct().groupBy(group).agg(F.count(ONE).alias("values")),
+        "unique_authors": df.where("primary_author IS NOT NULL").select(group, "primary_author").distinct().groupBy(group).agg(F.count(F.lit(1)).alias("values")),
     }
     out = base
     for name, part in parts.items():
@@ -88,7 +87,7 @@ def canonical_rollup(media: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def group_counts(df: DataFrame, *groups: str) -> DataFrame:
     """Documents of every group, null groups kept."""
-    return df.groupBy(*groups).agg(F.count(ONE).alias("documents"))
+    return df.groupBy(*groups).agg(F.count(F.lit(1)).alias("documents"))
 
 
 def pivot_shares(counts: DataFrame, row: str, column: str, values: list, name: str) -> DataFrame:
@@ -110,14 +109,14 @@ def anova(df: DataFrame, group: str, value: str, least: int = 30) -> DataFrame:
     From one aggregation by group; figures that are undefined (one group, no spread) are null.
     """
     rows = df.where(F.col(group).isNotNull() & F.col(value).isNotNull())
-    stats = rows.groupBy(group).agg(F.count(ONE).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("s2")).where(F.col("n") >= least)
+    stats = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("s2")).where(F.col("n") >= least)
     mean = F.sum(F.col("n") * F.col("m")) / F.nullif(F.sum("n"), F.lit(0))
     between = F.sum(F.col("n") * F.col("m") * F.col("m")) - F.sum("n") * mean * mean
     one = stats.agg(
         F.greatest(between, F.lit(0.0)).alias("ssb"),
         F.coalesce(F.sum((F.col("n") - 1) * F.coalesce("s2", F.lit(0.0))), F.lit(0.0)).alias("ssw"),
-        (F.count(ONE) - 1).alias("dfb"),
-        (F.coalesce(F.sum("n"), F.lit(0)) - F.count(ONE)).alias("dfw"),
+        (F.count(F.lit(1)) - 1).alias("dfb"),
+        (F.coalesce(F.sum("n"), F.lit(0)) - F.count(F.lit(1))).alias("dfw"),
     )
     some = lambda c: F.nullif(c, F.lit(0))
     msb, msw = F.col("ssb") / some(F.greatest("dfb", F.lit(0))), F.col("ssw") / some("dfw")
@@ -133,4 +132,4 @@ def anova(df: DataFrame, group: str, value: str, least: int = 30) -> DataFrame:
 def group_statistics(df: DataFrame, group: str, value: str, least: int = 30) -> DataFrame:
     """n, mean and sample standard deviation of the groups of at least ``least`` rows."""
     stats = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(group)
-    return stats.agg(F.count(ONE).alias("documents"), F.avg(value).alias("mean_value"), F.stddev_samp(value).alias("sd_value")).where(F.col("documents") >= least)
+    return stats.agg(F.count(F.lit(1)).alias("documents"), F.avg(value).alias("mean_value"), F.stddev_samp(value).alias("sd_value")).where(F.col("documents") >= least)

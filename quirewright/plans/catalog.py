@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quirewright.plans import problems
+from quirewright.plans import metadata, metadata_sql, problems
 
-FLAGSHIP = "p6_found"
-QUERIES = {**problems.QUERIES}
-ORACLE = {**problems.ORACLE}
+FLAGSHIP = "author_coverage_by_source"
+QUERIES = {**metadata.QUERIES, **problems.QUERIES}
+ORACLE = {**metadata_sql.ORACLE, **problems.ORACLE}

@@ -37,7 +37,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_profile(spark: SparkSession, folder: str) -> DataFrame:
-    out = compared(maintained_counts(spark, folder), SHIFTED)
+    out = compared(maintained_counts(spark, folder), SHIFTED).drop("n_rows_before")
     digits = ("missing_share", "distinct_ratio", "broken_share", "entropy", "missing_share_before", "distinct_ratio_before", "entropy_before", "shift")
     return out.withColumns({c: F.round(c, 6) for c in digits})
 
@@ -138,7 +138,7 @@ UNION ALL SELECT load_id, column_name, 'shift' FROM f WHERE shift > 0.25""",
     "p6_profile": _PROFILE
     + """SELECT load_id, column_name, n_rows, n_missing, round(missing_share, 6) AS missing_share, n_distinct,
     round(distinct_ratio, 6) AS distinct_ratio, min_value, max_value, min_length, max_length, n_broken,
-    round(broken_share, 6) AS broken_share, top_value, top_count, round(entropy, 6) AS entropy, n_rows_before,
+    round(broken_share, 6) AS broken_share, top_value, top_count, round(entropy, 6) AS entropy,
     round(missing_share_before, 6) AS missing_share_before, round(distinct_ratio_before, 6) AS distinct_ratio_before,
     round(entropy_before, 6) AS entropy_before, round(shift, 6) AS shift FROM f""",
     "p7_found": _REJECTS,
