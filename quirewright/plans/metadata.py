@@ -305,9 +305,9 @@ def topic_sample(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tfidf_vectors(spark, folder):
-    """(row_id, term, weight) of every English record, unigrams, vocabulary of the 150 most frequent terms."""
+    """(row_id, term, weight) of every English record, unigrams that 40 records hold."""
     rows = written(english_records(spark, folder).select("row_id", "metadata_text"), "texts")
-    v = topics.fit_vectorizer(rows, "metadata_text", 150, 1, max_df=1.0, bigrams=False)
+    v = topics.fit_vectorizer(rows, "metadata_text", 100_000, 40, max_df=1.0, bigrams=False)
     return rounded(topics.long_vectors(v.transform(rows, "metadata_text"), v.terms, ["row_id"]), 7)
 
 

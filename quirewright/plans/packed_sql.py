@@ -17,7 +17,7 @@ def item_list(column: str) -> str:
     t = f"trim({column}, {BLANKS})"
     listed = (
         f"list_transform(regexp_extract_all({t}, '''(?:[^''\\\\]|\\\\.)*''|\"(?:[^\"\\\\]|\\\\.)*\"'), "
-        f"lambda x: replace(replace(x[2:-2], '\\''', ''''), '\\\"', '\"'))"
+        f"lambda x: replace(replace(replace(x[2:-2], '\\''', ''''), '\\\"', '\"'))"
     )
     plain = (
         f"list_transform(regexp_extract_all({t}, '\"(?:[^\"]|\"\")*\"|[^;|\\r\\n\"]+'), "
