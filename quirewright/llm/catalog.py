@@ -97,12 +97,12 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    return spans.shared_windows(table(spark, folder, "documents"), "doc_id", "text").select("doc_id").distinct()
+    return spans.shared_runs(table(spark, folder, "documents"), "doc_id", "text").select("doc_id").distinct()
 
 
 def p10_spans(spark: SparkSession, folder: str) -> DataFrame:
     """The stretches that stand in other documents too."""
-    return spans.shared_spans(spans.shared_windows(table(spark, folder, "documents"), "doc_id", "text"))
+    return spans.shared_spans(spans.shared_runs(table(spark, folder, "documents"), "doc_id", "text"))
 
 
 def p10_shared(spark: SparkSession, folder: str) -> DataFrame:

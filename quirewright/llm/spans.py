@@ -23,6 +23,8 @@ SPAN = 160
 ANCHOR = 80
 #: Rows of the sketch, and the least and most cells of a row (bits, after merging).
 DEPTH, LEAST_BITS, MOST_BITS = 2, 16, 27
+#: Sketches that are merged in one step; more are first merged in as many groups.
+MERGED_AT_ONCE = 256
 _CHUNK = 1 << 20
 _SHARD = 1 << 20
 
@@ -151,14 +153,15 @@ def repeated_cells(docs: DataFrame, span: int, k: int, bits: int) -> list[bytes]
     """The merged sketch, as one bitmap per row of the cells that count two or more.
 
     Its size is set by ``bits`` alone (DEPTH * 2**bits / 8 bytes, 32 MB at most). Each partition sends its bitmaps in
-    shards; equal shards are merged in pairs of aggregations, so no task gets the sketches of all partitions at once.
+    shards of 2**20 cells; the sketches of very many partitions are merged in two steps.
     """
     import numpy as np
 
     schema = "r INT, s INT, one BINARY, two BINARY"
     sketches = docs.mapInArrow(_sketcher(span, k, bits), schema)
-    some = sketches.groupBy("r", "s", F.spark_partition_id() % 256).applyInPandas(lambda key, x: _merge(x), schema)
-    merged = some.groupBy("r", "s").applyInPandas(_merge, schema).select("r", "s", "two").collect()
+    if docs.rdd.getNumPartitions() > MERGED_AT_ONCE:
+        sketches = sketches.groupBy("r", "s", F.spark_partition_id() % MERGED_AT_ONCE).applyInPandas(lambda key, x: _merge(x), schema)
+    merged = sketches.groupBy("r", "s").applyInPandas(_merge, schema).select("r", "s", "two").collect()
     maps = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(DEPTH)]
     for r, s, two in merged:
         maps[r][s // 8 : s // 8 + len(two)] = np.frombuffer(two, np.uint8)
@@ -173,6 +176,7 @@ def _keeper(maps, span: int, k: int, bits: int):
         import pyarrow as pa
         import xxhash
 
+        digest = xxhash.xxh3_128_digest
         roller, bitmaps = _Roller(), [np.frombuffer(m, np.uint8) for m in maps.value]
         for b in batches:
             ids, out = b.column(0).to_pylist(), []
@@ -184,49 +188,59 @@ def _keeper(maps, span: int, k: int, bits: int):
                 for x in np.flatnonzero(keep).tolist():
                     i, offset, text = pieces[piece[x]]
                     f, c, a = int(first[x]), int(count[x]), int(at[x])
-                    key = xxhash.xxh3_128_digest(text[a : a + k].encode())
-                    out.append((key, ids[i], offset + f, c, text[f : f + c - 1 + span]))
+                    part = text[f : f + c - 1 + span]
+                    out.append((digest(text[a : a + k].encode()), digest(part.encode()), ids[i], offset + f, c, part))
             if out:
-                key, doc, pos, n, text = zip(*out, strict=True)
+                key, context, doc, pos, n, text = zip(*out, strict=True)
                 yield pa.record_batch(
-                    [pa.array(key, pa.binary()), pa.array(doc, pa.int64()), pa.array(pos, pa.int64()), pa.array(n, pa.int32()), pa.array(text, pa.string())],
-                    names=["key", "doc_id", "pos", "windows", "text"],
+                    [pa.array(key, pa.binary()), pa.array(context, pa.binary()), pa.array(doc, pa.int64()), pa.array(pos, pa.int64()), pa.array(n, pa.int32()), pa.array(text, pa.string())],
+                    names=["key", "context", "doc_id", "pos", "windows", "text"],
                 )
 
     return run
 
 
 def _windows(span: int):
+    """Every window of a context, by its 128-bit hash, with the documents that the context stands in."""
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import xxhash
 
         for b in batches:
-            keys, docs, places = [], [], []
-            for doc, pos, n, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            keys, rows, offsets = [], [], []
+            for r, (n, text) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
                 wide = text.encode("utf-32-le")
                 keys += [xxhash.xxh3_128_digest(wide[4 * j : 4 * (j + span)]) for j in range(n)]
-                docs += [doc] * n
-                places += range(pos, pos + n)
+                rows += [r] * n
+                offsets += range(n)
             if keys:
-                yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(docs, pa.int64()), pa.array(places, pa.int64())], names=["key", "doc_id", "pos"])
+                at = pa.array(rows, pa.int64())
+                columns = [pa.array(keys, pa.binary()), *(b.column(c).take(at) for c in range(3)), pa.array(offsets, pa.int32())]
+                yield pa.record_batch(columns, names=["key", "context", "a", "z", "offset"])
 
     return run
 
 
-def _in_two(rows: DataFrame) -> DataFrame:
-    """The rows whose key stands in two documents or more."""
-    groups = rows.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count(F.lit(1)).alias("n"))
-    groups = written(groups.where("a <> z").select("key", "n"), "repeated")
-    total = groups.agg(F.sum("n")).first()[0] or 0
-    return join_groups(rows, groups, ["key"], "n", total).drop("key", "n")
+def _in_two(rows: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """(key, n) of the keys that stand in two documents or more, written, and how many rows they have in all.
+
+    ``rows`` has the key and the first and last document ``a`` and ``z`` it stands in.
+    """
+    groups = rows.groupBy(key).agg(F.min("a").alias("a"), F.max("z").alias("z"), F.count(F.lit(1)).alias("n"))
+    groups = written(groups.where("a <> z").select(key, "n"), "repeated")
+    return groups, groups.agg(F.sum("n")).first()[0] or 0
+
 
+def shared_runs(docs: DataFrame, doc_id: str, text: str, span: int = SPAN, bits: int | None = None) -> DataFrame:
+    """(doc_id, first, last): runs of windows of ``span`` code points that also stand in another document.
 
-def shared_windows(docs: DataFrame, doc_id: str, text: str, span: int = SPAN, bits: int | None = None) -> DataFrame:
-    """(doc_id, pos): every window of ``span`` code points that also stands in another document, by its first character.
+    A window is named by the place of its first character; a document's runs cover all its shared windows, one run or
+    more for a stretch. The text around an anchor, its context, is what copies have in common, so equal contexts are
+    counted once, and only where one anchor has several contexts are their windows compared one by one.
 
-    ``bits`` sets the width of the sketch; by default about eight cells per anchor, counted from the characters of all
-    texts, up to 2**27. A sketch that is too narrow lets more through to the exact groups and changes no result.
+    ``bits`` sets the width of the sketch; by default four to eight cells per anchor, counted from the characters of
+    all texts, up to 2**27. A sketch that is too narrow lets more through to the exact groups and changes no result.
     Texts that are null or shorter than the span have no window. Rows that repeat an id count as one document.
     """
     k = span // 2
@@ -234,20 +248,47 @@ def shared_windows(docs: DataFrame, doc_id: str, text: str, span: int = SPAN, bi
     if bits is None:
         characters = rows.agg(F.sum(F.length("text"))).first()[0] or 0
         cells = 8 * 2 * characters // (span - k + 2)
-        bits = min(MOST_BITS, max(LEAST_BITS, int(cells).bit_length()))
+        bits = min(MOST_BITS, max(LEAST_BITS, int(cells).bit_length() - 1))
     maps = docs.sparkSession.sparkContext.broadcast(repeated_cells(rows, span, k, bits))
-    anchors = rows.mapInArrow(_keeper(maps, span, k, bits), "key BINARY, doc_id BIGINT, pos BIGINT, windows INT, text STRING")
-    anchors = _in_two(written(anchors, "anchors"))
-    windows = anchors.select("doc_id", "pos", "windows", "text").mapInArrow(_windows(span), "key BINARY, doc_id BIGINT, pos BIGINT")
-    return _in_two(written(windows, "windows"))
-
-
-def shared_spans(windows: DataFrame, span: int = SPAN) -> DataFrame:
-    """(doc_id, span_start, span_length): the stretches that the shared windows of a document cover, merged."""
-    by_doc = Window.partitionBy("doc_id").orderBy("pos")
-    gap = (F.col("pos") - F.lag("pos", 1).over(by_doc)) > span
-    islands = windows.distinct().withColumn("island", F.sum(F.coalesce(gap, F.lit(False)).cast("int")).over(by_doc))
-    spans = islands.groupBy("doc_id", "island").agg(F.min("pos").alias("span_start"), F.max("pos").alias("last"))
+    schema = "key BINARY, context BINARY, doc_id BIGINT, pos BIGINT, windows INT, text STRING"
+    anchors = written(rows.mapInArrow(_keeper(maps, span, k, bits), schema), "anchors")
+
+    contexts = anchors.groupBy("key", "context").agg(
+        F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count(F.lit(1)).alias("n"), F.first("windows").alias("windows"), F.first("text").alias("text")
+    )
+    contexts = written(contexts, "contexts")
+    held = contexts.groupBy("key").agg(F.min("a").alias("a"), F.max("z").alias("z"), F.count(F.lit(1)).alias("held"))
+    held = written(held.where("a <> z").select("key", "held"), "held")
+    whole = contexts.join(held.where("held = 1"), "key").select("context", "n", F.lit(0).alias("low"), (F.col("windows") - 1).alias("high"))
+
+    several = held.where("held > 1")
+    total = several.agg(F.sum("held")).first()[0] or 0
+    varied = join_groups(contexts.select("key", "context", "a", "z", "windows", "text"), several, ["key"], "held", total)
+    windows = varied.select("context", "a", "z", "windows", "text").mapInArrow(_windows(span), "key BINARY, context BINARY, a BIGINT, z BIGINT, offset INT")
+    windows = written(windows, "windows")
+    groups, total = _in_two(windows, "key")
+    offsets = join_groups(windows.select("key", "context", "offset"), groups, ["key"], "n", total)
+    # at most SPAN // 2 + 1 offsets a context: whole stretches of them
+    step = F.transform("o", lambda x, i: x - i)
+    some = offsets.groupBy("context").agg(F.array_sort(F.collect_set("offset")).alias("o")).withColumn("s", F.arrays_zip("o", step.alias("g")))
+    runs = some.select("context", F.explode("s").alias("s")).groupBy("context", F.col("s.g").alias("g")).agg(F.min("s.o").alias("low"), F.max("s.o").alias("high"))
+    parts = runs.join(contexts.select("context", "n").distinct(), "context").select("context", "n", "low", "high")
+
+    shared = written(whole.union(parts).groupBy("context").agg(F.max("n").alias("n"), F.collect_set(F.struct("low", "high")).alias("runs")), "shared")
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    found = join_groups(anchors.select("context", "doc_id", "pos"), shared, ["context"], "n", total)
+    return found.select("doc_id", "pos", F.explode("runs").alias("r")).select(
+        "doc_id", (F.col("pos") + F.col("r.low")).alias("first"), (F.col("pos") + F.col("r.high")).alias("last")
+    )
+
+
+def shared_spans(runs: DataFrame, span: int = SPAN) -> DataFrame:
+    """(doc_id, span_start, span_length): the stretches that the shared runs of a document cover, merged."""
+    by_doc = Window.partitionBy("doc_id").orderBy("first", "last")
+    before = F.max("last").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.coalesce(F.col("first") - before > span, F.lit(False)).cast("int")
+    islands = runs.withColumn("apart", apart).withColumn("island", F.sum("apart").over(by_doc))
+    spans = islands.groupBy("doc_id", "island").agg(F.min("first").alias("span_start"), F.max("last").alias("last"))
     return spans.select("doc_id", "span_start", (F.col("last") - F.col("span_start") + span).alias("span_length"))
 
 
