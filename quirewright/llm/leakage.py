@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 K = 8
 #: Words of held-out text that are broadcast at a time; larger sets are taken in blocks, one pass each.
 BLOCK_WORDS = 2_000_000
-_PAIRS = 1_000_000
+#: Pairs of hits that a worker extends at a time.
+PAIRS = 1_000_000
 _MEMO = 500_000
 _WORD = re.compile(r"[^\W_]+")
 
@@ -81,7 +82,7 @@ def _fingerprints(h, starts, ends, k: int, w: int):
     return at, grams[at]
 
 
-def _searcher(block, k: int, w: int, min_words: int):
+def _searcher(block, k: int, w: int, min_words: int, pairs: int):
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -100,7 +101,7 @@ def _searcher(block, k: int, w: int, min_words: int):
             done = np.cumsum(many)
             first = 0
             while first < len(at):  # pairs of positions, some at a time
-                last = max(first + 1, int(np.searchsorted(done, (done[first - 1] if first else 0) + _PAIRS, "right")))
+                last = max(first + 1, int(np.searchsorted(done, (done[first - 1] if first else 0) + pairs, "right")))
                 m = many[first:last]
                 p = np.repeat(at[first:last], m)
                 q = fpos[np.repeat(lo[first:last], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
@@ -179,6 +180,6 @@ def leaked(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: s
     schema = "item_id BIGINT, doc_id BIGINT, shared_words INT, word_pos INT"
     out = None
     for block in _blocks(items.select(F.col(item_id).cast("bigint"), F.col(item_text)), k, w):
-        part = rows.mapInArrow(_searcher(spark.sparkContext.broadcast(block), k, w, min_words), schema)
+        part = rows.mapInArrow(_searcher(spark.sparkContext.broadcast(block), k, w, min_words, PAIRS), schema)
         out = part if out is None else out.union(part)
     return spark.createDataFrame([], schema) if out is None else out

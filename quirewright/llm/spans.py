@@ -64,15 +64,15 @@ def _sliding_min(x, w: int):
     return np.minimum(out[: len(x) - w + 1], out[w - width : w - width + len(x) - w + 1]) if width < w else out
 
 
-def _pieces(texts: list[str | None], span: int) -> Iterator[list[tuple[int, int, str]]]:
-    """(index, offset, piece of text) in lists of at most _CHUNK characters; each window lies in exactly one piece."""
+def _pieces(texts: list[str | None], span: int, chunk: int) -> Iterator[list[tuple[int, int, str]]]:
+    """(index, offset, piece of text) in lists of at most ``chunk`` characters; each window lies in exactly one piece."""
     some, size = [], 0
     for i, t in enumerate(texts):
         if not t or len(t) < span:
             continue
-        for at in range(0, len(t) - span + 1, _CHUNK - span + 1):
-            piece = t[at : at + _CHUNK]
-            if size + len(piece) > _CHUNK:
+        for at in range(0, len(t) - span + 1, chunk - span + 1):
+            piece = t[at : at + chunk]
+            if some and size + len(piece) > chunk:
                 yield some
                 some, size = [], 0
             some.append((i, at, piece))
@@ -113,14 +113,14 @@ def _cells(h, bits: int):
     return [(h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)]
 
 
-def _sketcher(span: int, k: int, bits: int):
+def _sketcher(span: int, k: int, bits: int, chunk: int):
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         roller, rows = _Roller(), [np.zeros(1 << bits, np.uint8) for _ in range(DEPTH)]
         for b in batches:
-            for pieces in _pieces(b.column(1).to_pylist(), span):
+            for pieces in _pieces(b.column(1).to_pylist(), span, chunk):
                 h, piece, *_ = _anchored(roller, pieces, span, k)
                 doc = np.array([i for i, _, _ in pieces])[piece]
                 once = np.unique(np.stack([doc.astype(np.uint64), h]), axis=1)[1] if len(h) else h
@@ -149,7 +149,7 @@ def _merge(shard: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"r": [shard["r"].iloc[0]], "s": [shard["s"].iloc[0]], "one": [np.asarray(one).tobytes()], "two": [np.asarray(two).tobytes()]})
 
 
-def repeated_cells(docs: DataFrame, span: int, k: int, bits: int) -> list[bytes]:
+def repeated_cells(docs: DataFrame, span: int, k: int, bits: int, chunk: int = _CHUNK) -> list[bytes]:
     """The merged sketch, as one bitmap per row of the cells that count two or more.
 
     Its size is set by ``bits`` alone (DEPTH * 2**bits / 8 bytes, 32 MB at most). Each partition sends its bitmaps in
@@ -158,7 +158,7 @@ def repeated_cells(docs: DataFrame, span: int, k: int, bits: int) -> list[bytes]
     import numpy as np
 
     schema = "r INT, s INT, one BINARY, two BINARY"
-    sketches = docs.mapInArrow(_sketcher(span, k, bits), schema)
+    sketches = docs.mapInArrow(_sketcher(span, k, bits, chunk), schema)
     if docs.rdd.getNumPartitions() > MERGED_AT_ONCE:
         sketches = sketches.groupBy("r", "s", F.spark_partition_id() % MERGED_AT_ONCE).applyInPandas(lambda key, x: _merge(x), schema)
     merged = sketches.groupBy("r", "s").applyInPandas(_merge, schema).select("r", "s", "two").collect()
@@ -168,7 +168,7 @@ def repeated_cells(docs: DataFrame, span: int, k: int, bits: int) -> list[bytes]
     return [m.tobytes() for m in maps]
 
 
-def _keeper(maps, span: int, k: int, bits: int):
+def _keeper(maps, span: int, k: int, bits: int, chunk: int):
     """Anchors estimated to stand in two documents, with the text of their windows."""
 
     def run(batches: Iterator) -> Iterator:
@@ -180,7 +180,7 @@ def _keeper(maps, span: int, k: int, bits: int):
         roller, bitmaps = _Roller(), [np.frombuffer(m, np.uint8) for m in maps.value]
         for b in batches:
             ids, out = b.column(0).to_pylist(), []
-            for pieces in _pieces(b.column(1).to_pylist(), span):
+            for pieces in _pieces(b.column(1).to_pylist(), span, chunk):
                 h, piece, first, count, at = _anchored(roller, pieces, span, k)
                 keep = np.ones(len(h), bool)
                 for m, cells in zip(bitmaps, _cells(h, bits), strict=True):
@@ -232,7 +232,7 @@ def _in_two(rows: DataFrame, key: str) -> tuple[DataFrame, int]:
     return groups, groups.agg(F.sum("n")).first()[0] or 0
 
 
-def shared_runs(docs: DataFrame, doc_id: str, text: str, span: int = SPAN, bits: int | None = None) -> DataFrame:
+def shared_runs(docs: DataFrame, doc_id: str, text: str, span: int = SPAN, bits: int | None = None, chunk: int = _CHUNK) -> DataFrame:
     """(doc_id, first, last): runs of windows of ``span`` code points that also stand in another document.
 
     A window is named by the place of its first character; a document's runs cover all its shared windows, one run or
@@ -242,6 +242,7 @@ def shared_runs(docs: DataFrame, doc_id: str, text: str, span: int = SPAN, bits:
     ``bits`` sets the width of the sketch; by default four to eight cells per anchor, counted from the characters of
     all texts, up to 2**27. A sketch that is too narrow lets more through to the exact groups and changes no result.
     Texts that are null or shorter than the span have no window. Rows that repeat an id count as one document.
+    ``chunk`` is how many characters a worker hashes at a time (2**20 at most); longer texts are taken in pieces.
     """
     k = span // 2
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.length("text") >= span)
@@ -249,9 +250,9 @@ def shared_runs(docs: DataFrame, doc_id: str, text: str, span: int = SPAN, bits:
         characters = rows.agg(F.sum(F.length("text"))).first()[0] or 0
         cells = 8 * 2 * characters // (span - k + 2)
         bits = min(MOST_BITS, max(LEAST_BITS, int(cells).bit_length() - 1))
-    maps = docs.sparkSession.sparkContext.broadcast(repeated_cells(rows, span, k, bits))
+    maps = docs.sparkSession.sparkContext.broadcast(repeated_cells(rows, span, k, bits, chunk))
     schema = "key BINARY, context BINARY, doc_id BIGINT, pos BIGINT, windows INT, text STRING"
-    anchors = written(rows.mapInArrow(_keeper(maps, span, k, bits), schema), "anchors")
+    anchors = written(rows.mapInArrow(_keeper(maps, span, k, bits, chunk), schema), "anchors")
 
     contexts = anchors.groupBy("key", "context").agg(
         F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count(F.lit(1)).alias("n"), F.first("windows").alias("windows"), F.first("text").alias("text")
