@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirewright.operators.skew import join_groups
+from quirewright.session import written
 
 #: The rules by flag and the columns that make their keys; the date is the raw text, null counts as ''.
 RULES = {
@@ -53,9 +54,9 @@ def duplicate_flags(df: DataFrame, order: list[str], rules: dict[str, tuple[str,
     ``order`` names a row uniquely and says which one is first. Groups are counted with partial sums; only their rows
     are joined back, hot groups by broadcast, so no group is gathered in one task.
     """
-    keyed = _keys(df, rules, order)
+    keyed = written(_keys(df, rules, order), "duplicate_keys")
     groups = keyed.groupBy("rule", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("first")).where("n > 1")
-    total = df.count()
+    total = keyed.count()
     members = join_groups(keyed, groups, ["rule", "key"], "n", total)
     extra = (F.col("rule") == CONSERVATIVE) & (F.struct(*order) != F.col("first"))
     flags = members.groupBy(*order).agg(

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirewright.functions.text import cloud_tokens, ratio, tokens
-from quirewright.operators.summaries import top_values
 from quirewright.schema import LEXICON_CATEGORIES
 from quirewright.session import broadcast_if_small
 
@@ -108,9 +107,13 @@ def group_sizes(df: DataFrame, facets: list[str]) -> DataFrame:
 
 def group_terms(df: DataFrame, text: str, facets: list[str], k: int = 120) -> DataFrame:
     """(facet, group_value, term, documents, rank): the ``k`` most frequent terms of every group, ties by term."""
-    rows = _facets(df, facets, cloud_tokens(F.col(text)).alias("terms")).where("group_value IS NOT NULL")
-    words = rows.select("facet", "group_value", F.explode("terms").alias("term"))
-    return top_values(words, ["facet", "group_value"], "term", k)
+    words = df.select(*facets, F.explode(cloud_tokens(F.col(text))).alias("term"))
+    # counted once by all facets together, so that the words themselves are not repeated for each
+    together = words.groupBy(*facets, "term").agg(F.count(F.lit(1)).alias("n"))
+    rows = _facets(together, facets, F.col("term"), F.col("n")).where("group_value IS NOT NULL")
+    counts = rows.groupBy("facet", "group_value", "term").agg(F.sum("n").alias("documents"))
+    rank = F.row_number().over(Window.partitionBy("facet", "group_value").orderBy(F.desc("documents"), "term"))
+    return counts.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def group_lexicon_totals(df: DataFrame, text: str, facets: list[str], members: DataFrame) -> DataFrame:

@@ -26,40 +26,59 @@ def _first_values(df: DataFrame, group: str, value: str, k: int) -> DataFrame:
     return some.groupBy(group).agg(F.array_join(F.array_sort(F.collect_list(value)), "; ").alias("values"))
 
 
-def _mode(df: DataFrame, group: str, value: str) -> DataFrame:
-    """The most frequent non-null value of every group, the smallest of ties."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy(group).agg(F.min(F.struct((-F.col("n")).alias("m"), F.col(value).alias("v"))).alias("s")).select(group, F.col("s.v").alias("values"))
+#: Attributes of a publication of which the most frequent value is shown (ties: the smallest), and of which the first few are.
+_MODES = {
+    "display_publication_title": "publication_title_display",
+    "top_source_type": "source_type",
+    "top_publisher": "publisher_name",
+    "top_publisher_region": "publisher_region",
+}
+_FIRSTS = {"normalized_variants": ("publication_title_normalized", 8), "publication_ids": ("publication_id", 5)}
 
 
 def media_summary(df: DataFrame, group: str = "publication_title_canonical") -> DataFrame:
     """One row per publication: sizes, years, variants, ids, modes, authors and mean subject terms.
 
-    The counted and distinct parts are aggregated by group and value first, so a publication with a third of all rows
-    is spread over its values. Groups are never null after normalisation.
+    One pass: every record gives a row per attribute, counted by publication, attribute and value before and after the
+    shuffle, so a publication with a third of all records is spread over its values; of each attribute a task keeps the
+    few best before they are ranked. Groups are never null after normalisation.
     """
-    base = df.groupBy(group).agg(
-        F.count(F.lit(1)).alias("documents"),
-        F.min("year").alias("first_year"),
-        F.max("year").alias("last_year"),
-        F.avg("subject_term_count").alias("avg_subject_terms"),
+    columns = {"_all": F.lit(""), "_author": F.col("primary_author")} | {n: F.col(c) for n, c in _MODES.items()} | {n: F.col(c) for n, (c, _) in _FIRSTS.items()}
+    each = F.array(*(F.struct(F.lit(n).alias("attribute"), c.alias("value")) for n, c in columns.items()))
+    rows = df.select(F.col(group).alias("name"), "year", "subject_term_count", F.inline(each)).where("value IS NOT NULL")
+    counts = rows.groupBy("name", "attribute", "value").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("year").alias("low"),
+        F.max("year").alias("high"),
+        F.sum("subject_term_count").alias("terms"),
     )
-    parts = {
-        "display_publication_title": _mode(df, group, "publication_title_display"),
-        "normalized_variants": _first_values(df, group, "publication_title_normalized", 8),
-        "publication_ids": _first_values(df, group, "publication_id", 5),
-        "top_source_type": _mode(df, group, "source_type"),
-        "top_publisher": _mode(df, group, "publisher_name"),
-        "top_publisher_region": _mode(df, group, "publisher_region"),
-        "unique_authors": df.where("primary_author IS NOT NULL").select(group, "primary_author").distinct().groupBy(group).agg(F.count(F.lit(1)).alias("values")),
-    }
-    out = base
-    for name, part in parts.items():
-        out = out.join(part.withColumnRenamed("values", name), group, "left")
-    text = [n for n in parts if n != "unique_authors"]
-    out = out.withColumns({n: F.coalesce(n, F.lit("")) for n in text} | {"unique_authors": F.coalesce("unique_authors", F.lit(0).cast("bigint"))})
-    return out.withColumnRenamed(group, "publication_title_canonical").select(
-        "publication_title_canonical", "display_publication_title", "documents", "first_year", "last_year", *text[1:], "unique_authors", "avg_subject_terms"
+    by_rank = Window.partitionBy("name", "attribute").orderBy(F.when(F.col("attribute").isin(*_MODES), -F.col("n")).otherwise(F.lit(0)), "value")
+    best = counts.where("attribute <> '_author'").withColumn("r", F.row_number().over(by_rank)).where(F.col("r") <= max(k for _, k in _FIRSTS.values()))
+    of = lambda n, k=1: (F.col("attribute") == n) & (F.col("r") <= k)
+    whole = lambda c: F.max(F.when(of("_all"), F.col(c)))
+    text = {n: F.coalesce(F.max(F.when(of(n), F.col("value"))), F.lit("")) for n in _MODES}
+    text |= {n: F.array_join(F.array_sort(F.collect_list(F.when(of(n, k), F.col("value")))), "; ") for n, (_, k) in _FIRSTS.items()}
+    out = best.groupBy("name").agg(
+        whole("n").alias("documents"),
+        whole("low").alias("first_year"),
+        whole("high").alias("last_year"),
+        (whole("terms") / whole("n")).alias("avg_subject_terms"),
+        *(c.alias(n) for n, c in text.items()),
+    )
+    authors = counts.where("attribute = '_author'").groupBy("name").agg(F.count(F.lit(1)).alias("unique_authors"))
+    return out.join(authors, "name", "left").select(
+        F.col("name").alias("publication_title_canonical"),
+        "display_publication_title",
+        "documents",
+        "first_year",
+        "last_year",
+        "normalized_variants",
+        "publication_ids",
+        "top_source_type",
+        "top_publisher",
+        "top_publisher_region",
+        F.coalesce("unique_authors", F.lit(0).cast("bigint")).alias("unique_authors"),
+        "avg_subject_terms",
     )
 
 

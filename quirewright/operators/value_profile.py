@@ -63,11 +63,18 @@ class ValueCounts:
         spans = sorted((int(a), int(b), n) for n in done for a, b in [n.split("-")])
         return [n for a, b, n in spans if not any((c, d) != (a, b) and c <= a and b <= d for c, d, _ in spans)]
 
-    def apply(self, deltas: DataFrame) -> None:
-        """Add one segment of signed deltas; merge the segments when there are ``merge_at``."""
+    def apply(self, deltas: DataFrame, segment: int | None = None) -> None:
+        """Add one segment of signed deltas; merge the segments when there are ``merge_at``.
+
+        With a ``segment`` number, which must rise from delivery to delivery, a delivery that is applied already is
+        left alone, and one that was broken off is written anew.
+        """
         have = self.segments()
-        k = 1 + max((int(n.split("-")[1]) for n in have), default=0)
-        deltas.select("load_id", "column_name", "value", F.col("n").cast("bigint").alias("n")).write.option("compression", "zstd").parquet(
+        last = max((int(n.split("-")[1]) for n in have), default=0)
+        k = last + 1 if segment is None else segment
+        if k <= last:
+            return
+        deltas.select("load_id", "column_name", "value", F.col("n").cast("bigint").alias("n")).write.mode("overwrite").option("compression", "zstd").parquet(
             f"{self.path}/{k:09d}-{k:09d}"
         )
         if len(have) + 1 >= self.merge_at:
