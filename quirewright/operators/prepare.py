@@ -33,14 +33,16 @@ def renamed_source(df: DataFrame, what: str) -> DataFrame:
     return df.select(*(F.col(f"`{raw}`").alias(name) for raw, name in SOURCE_COLUMNS.items()), *extra)
 
 
-def prepared(df: DataFrame) -> DataFrame:
+def prepared(df: DataFrame, language: str | None = None) -> DataFrame:
     """All derived columns beside the text columns, which hold null for missing tokens.
 
+    With a ``language``, only its rows; the filter is on the column as it is stored, so it reaches the scan.
+
     Nothing is computed that is not selected later: the columns are plain expressions, so Catalyst prunes them.
     Null text gives '' or ``Unknown`` in the normalised columns and empty lists.
     """
     require(df.columns, [*TEXT_COLUMNS, "source_partition"], "the table")
-    rows = with_missing_as_null(df)
+    rows = with_missing_as_null(df if language is None else df.where(F.col("language") == language))
     date = parse_date(F.col("date"))
     place = publisher_location(F.col("publisher_city"), F.col("publisher_province"))
     rows = rows.withColumns(

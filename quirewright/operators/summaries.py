@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirewright.functions.text import ratio
+from quirewright.session import written
 
 
 
@@ -52,6 +53,7 @@ def media_summary(df: DataFrame, group: str = "publication_title_canonical") ->
         F.max("year").alias("high"),
         F.sum("subject_term_count").alias("terms"),
     )
+    counts = written(counts, "publication_counts")  # read twice below; the records are read once
     by_rank = Window.partitionBy("name", "attribute").orderBy(F.when(F.col("attribute").isin(*_MODES), -F.col("n")).otherwise(F.lit(0)), "value")
     best = counts.where("attribute <> '_author'").withColumn("r", F.row_number().over(by_rank)).where(F.col("r") <= max(k for _, k in _FIRSTS.values()))
     of = lambda n, k=1: (F.col("attribute") == n) & (F.col("r") <= k)

@@ -7,23 +7,23 @@ from pyspark.sql import functions as F
 
 from quirewright.functions import text as tx
 from quirewright.operators import duplicates, profiling, resolve, sampling, sentiment, summaries, topics
-from quirewright.operators.prepare import english, prepared
+from quirewright.operators.prepare import prepared
 from quirewright.schema import CLEAN_COLUMNS, LEXICON_CATEGORIES
-from quirewright.session import written
+from quirewright.session import new_path, written
 from quirewright.sources import partitions
 from quirewright.sources.tables import table
 
 FACETS = ["decade", "source_type", "partition_family"]
 
 
-def records(spark: SparkSession, folder: str) -> DataFrame:
+def records(spark: SparkSession, folder: str, language: str | None = None) -> DataFrame:
     """``master`` under the standard column names, with all derived columns."""
     master = table(spark, folder, "master").withColumnsRenamed({"date_text": "date", "language_name": "language"})
-    return prepared(master)
+    return prepared(master, language)
 
 
 def english_records(spark: SparkSession, folder: str) -> DataFrame:
-    return english(records(spark, folder))
+    return records(spark, folder, "English")
 
 
 def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
@@ -80,6 +80,39 @@ def missing_profile(spark, folder):
     return rounded(profiling.missing_profile(records(spark, folder)))
 
 
+def row_counts(spark, folder):
+    return profiling.row_counts(records(spark, folder))
+
+
+def raw_partitions(spark: SparkSession, folder: str) -> list[partitions.Partition]:
+    """``master`` written as raw partitions, with the rows that the manifest expects."""
+    root = new_path(spark, "raw")
+    master = table(spark, folder, "master").withColumnsRenamed({"date_text": "date", "language_name": "language"})
+    partitions.write_raw(master, root)
+    expected = table(spark, folder, "manifest").groupBy("dataset_name").agg(F.sum("document_count")).collect()  # a row per partition
+    return partitions.discover(spark, root, dict(map(tuple, expected)))
+
+
+def file_validation(spark, folder):
+    """The raw files against the manifest: physical rows, widths and headers."""
+    checked = partitions.inspected(spark, raw_partitions(spark, folder))
+    return checked.select("source_partition", "manifest_rows", "master_rows", "master_columns", "schema_matches", "manifest_rows_match", "extended_rows_match")
+
+
+def scanned_partitions(spark, folder):
+    """Records, titles and ids of each raw partition, read back from its CSV file."""
+    scanned = partitions.scan(spark, raw_partitions(spark, folder), ["goid", "title", "subject_terms"])
+    return scanned.groupBy("source_partition").agg(
+        F.count(F.lit(1)).alias("records"), F.count_distinct("goid").alias("goids"), F.count_distinct("title").alias("titles"), F.count_distinct("subject_terms").alias("subjects")
+    )
+
+
+def topic_share_by_decade(spark, folder):
+    """Topics by decade, each cell as a share of its decade."""
+    counts = topic_by_decade(spark, folder).where("decade IS NOT NULL")
+    return rounded(summaries.pivot_shares(counts, "topic_label", "decade", list(range(1980, 2030, 10)), "share"))
+
+
 def usable_fields(spark, folder):
     return rounded(profiling.usable_fields(profiling.missing_profile(records(spark, folder))))
 
@@ -348,14 +381,14 @@ QUERIES = {
     f.__name__: f
     for f in (
         clean_keys, publication_names, canonical_terms, list_fields, metadata_texts, name_anchor_sets, publisher_locations,
-        dates_and_pages, clean_table, missing_profile, usable_fields, date_bounds, partition_quality, manifest_check,
-        partition_quality_checked, frequencies_all, frequencies_english, final_counts, term_frequencies, top_subject_terms,
+        dates_and_pages, clean_table, missing_profile, row_counts, usable_fields, date_bounds, partition_quality, manifest_check,
+        partition_quality_checked, file_validation, scanned_partitions, frequencies_all, frequencies_english, final_counts, term_frequencies, top_subject_terms,
         page_statistics, core_summary, coverage_metrics, author_coverage, author_coverage_by_source,
         author_coverage_since_2000, metadata_depth, duplicate_summary, duplicate_flags, stratum_sizes, capped_sample,
         lexicon_lookup, lexicon_scores, tone_by_decade_and_source, tone_by_decade, sampled_tone, tone_anova,
         tone_group_statistics, pages_anova, group_sizes, group_terms, group_lexicon_totals, object_type_by_decade_share,
         media_summary, publication_examples, alias_pairs, alias_audit, canonical_names, canonical_components, canonical_media,
         canonical_rollup, watched_publications, unobserved_publications, tfidf_vectors, nmf_topic_terms, nmf_topics,
-        topic_counts, topic_by_decade, topic_by_source_type, lda_topics,
+        topic_counts, topic_by_decade, topic_by_source_type, topic_share_by_decade, lda_topics,
     )
 }

@@ -248,6 +248,8 @@ d AS (SELECT term, count(*) AS df FROM f GROUP BY term HAVING count(*) >= 40),
 x AS (SELECT row_id, term, tf * (ln((1 + (SELECT count(*) FROM e)) / (1 + df)) + 1) AS v FROM f JOIN d USING (term))
 SELECT row_id, term, round(v / sqrt(sum(v * v) OVER (PARTITION BY row_id)), 7) AS weight FROM x"""
 
+_BREAKS = " + ".join(f"length(coalesce({_NAMES.get(c, c)}, '')) - length(replace(coalesce({_NAMES.get(c, c)}, ''), chr(10), ''))" for c in TEXT_COLUMNS)
+
 ORACLE = {
     "clean_keys": BASE + f"SELECT row_id, {clean('title')} AS title_clean, {key('title')} AS title_normalized FROM master",
     "publication_names": BASE + "SELECT row_id, publication_title_normalized, publication_title_display FROM r_display",
@@ -270,6 +272,17 @@ FROM (SELECT row_id, subject_items[i] AS term, i FROM (SELECT row_id, subject_it
     "usable_fields": BASE
     + f"""SELECT column_name, round(1 - missing_rows / n, 9) AS nonmissing_share, missing_rows, round(missing_rows / n, 9) AS missing_share
 FROM ({_MISSING_ROWS}) WHERE column_name IN ({lits(USABLE_FIELDS)})""",
+    "row_counts": BASE
+    + "SELECT source_partition, count(*) AS raw_rows, count(*) FILTER (language = 'English') AS english_rows FROM r GROUP BY source_partition",
+    "file_validation": f"""
+WITH f AS (SELECT source_partition, count(*) + CAST(sum({_BREAKS}) AS BIGINT) AS master_rows FROM master GROUP BY 1),
+m AS (SELECT dataset_name, CAST(sum(document_count) AS BIGINT) AS manifest_rows FROM manifest GROUP BY 1)
+SELECT source_partition, manifest_rows, master_rows, CAST(31 AS INTEGER) AS master_columns, true AS schema_matches,
+    coalesce(manifest_rows = master_rows, false) AS manifest_rows_match, false AS extended_rows_match
+FROM f LEFT JOIN m ON m.dataset_name = source_partition""",
+    "scanned_partitions": """
+SELECT source_partition, count(*) AS records, count(DISTINCT nullif(goid, '')) AS goids, count(DISTINCT nullif(title, '')) AS titles,
+    count(DISTINCT nullif(replace(subject_terms, chr(13) || chr(10), chr(10)), '')) AS subjects FROM master GROUP BY 1""",
     "date_bounds": BASE + f"SELECT {_BOUNDS} FROM r",
     "partition_quality": BASE + _QUALITY,
     "manifest_check": f"SELECT * FROM {_MANIFEST}",

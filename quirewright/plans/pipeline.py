@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirewright.operators import duplicates, profiling, resolve, sampling, sentiment, summaries, topics
-from quirewright.operators.prepare import english, prepared
+from quirewright.operators.prepare import prepared
 from quirewright.schema import CLEAN_COLUMNS, FEATURE_COLUMNS, require
 from quirewright.session import written
 from quirewright.sources import partitions, sinks
@@ -30,7 +30,7 @@ class Settings:
 
 def feature_rows(records: DataFrame, lexicon: DataFrame, settings: Settings) -> tuple[DataFrame, topics.TopicModel]:
     """English records with flags, scores and topics. ``records`` has the text columns, source_partition and row_id."""
-    rows = written(english(prepared(records)).drop("place", "publication_day"), "prepared")
+    rows = written(prepared(records, "English").drop("place", "publication_day"), "prepared")
     sample = sampling.stratified(sampling.long_enough(rows, "metadata_text", 5), ["decade", "source_type"], "row_id", settings.per_stratum)
     sample = written(sample.select("metadata_text"), "topic_sample")
     if sample.isEmpty():
@@ -49,7 +49,7 @@ def run(spark: SparkSession, raw_root: str, lexicon: DataFrame, out: str, manife
     parts = partitions.discover(spark, raw_root, manifest)
     validation = written(partitions.inspected(spark, parts), "validation")
     records = written(partitions.scan(spark, parts), "records")
-    everything = prepared(records)
+    everything, in_english = prepared(records), prepared(records, "English")
     csv = f"{out}/csv"
     sinks.write_csv(validation, f"{csv}/partition_validation")
     missing = written(profiling.missing_profile(everything), "missing")
@@ -57,9 +57,14 @@ def run(spark: SparkSession, raw_root: str, lexicon: DataFrame, out: str, manife
     sinks.write_csv(profiling.partition_quality(everything, validation).orderBy("source_partition"), f"{csv}/partition_quality")
     core = written(profiling.core_summary(everything), "core")
     sinks.write_csv(core, f"{csv}/core_summary")
-    for dimension, table in (("all", profiling.all_row_frequencies(everything)), ("english", profiling.english_frequencies(english(everything))), ("terms", profiling.term_frequencies(english(everything)))):
+    frequencies = {
+        "all": profiling.all_row_frequencies(everything),
+        "english": profiling.english_frequencies(in_english),
+        "terms": profiling.term_frequencies(in_english),
+    }
+    for dimension, table in frequencies.items():
         sinks.write_csv(table.orderBy("dimension", F.desc("documents"), "value"), f"{csv}/frequencies_{dimension}")
-    sinks.write_csv(duplicates.duplicate_summary(english(everything)), f"{csv}/duplicate_summary")
+    sinks.write_csv(duplicates.duplicate_summary(in_english), f"{csv}/duplicate_summary")
     features, model = feature_rows(records, lexicon, settings)
     clean_path, feature_path = f"{out}/tables/clean_metadata", f"{out}/tables/metadata_features"
     features = written(features.select(*dict.fromkeys([*CLEAN_COLUMNS, *FEATURE_COLUMNS])), "features")
@@ -96,6 +101,8 @@ def finish(spark: SparkSession, feature_path: str, out: str, sections: dict[str,
     sinks.write_text(spark, f"{out}/report.md", sinks.report("Document metadata", (sections or {}) | shown))
     checks = validated(spark, feature_path)
     sinks.write_csv(checks, f"{out}/csv/validation")
+    summary = [("feature_rows", features.count()), ("publications", media.count()), ("merged_names", mapping.where("publication_title <> canonical_title").count())]
+    sinks.write_csv(spark.createDataFrame(summary, "metric STRING, value BIGINT"), f"{out}/csv/run_summary")
     sinks.write_csv(sinks.artifacts(spark, out), f"{out}/csv/artifacts")
     return {"features": feature_path, "csv": f"{out}/csv", "report": f"{out}/report.md"}
 
@@ -108,6 +115,15 @@ def resume(spark: SparkSession, out: str) -> dict[str, str]:
     return {"clean": f"{out}/tables/clean_metadata"} | finish(spark, f"{out}/tables/metadata_features", out)
 
 
+#: Outputs that are delivered.
+DELIVERED = ("tables/clean_metadata", "tables/metadata_features", "csv/media_summary", "csv/publication_alias_audit", "csv/topic_terms", "csv/topic_counts", "csv/tone_by_decade", "csv/core_summary", "csv/partition_quality", "csv/duplicate_summary", "csv/data_dictionary", "report.md")
+
+
+def deliver(spark: SparkSession, out: str, target: str) -> DataFrame:
+    """Copy the outputs that are delivered to another folder; the run's own folder stays as it is."""
+    return sinks.copied(spark, out, target, list(DELIVERED))
+
+
 def validated(spark: SparkSession, feature_path: str) -> DataFrame:
     """(check, passed) of the written tables."""
     features = spark.read.parquet(feature_path)

@@ -7,13 +7,14 @@ import io
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirewright.operators.prepare import renamed_source
-from quirewright.schema import RAW_COLUMNS
+from quirewright.schema import RAW_COLUMNS, SOURCE_COLUMNS
 
 MASTER = "master.csv"
 SIDE_FILES = {"extended": "extended.csv.zip", "citation": "citation.csv.zip"}
@@ -91,6 +92,32 @@ def scan(spark: SparkSession, parts: list[Partition], columns: list[str] | None
     return first
 
 
+def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
+    """The word table of a CSV file with a number per category; see ``operators.sentiment.lexicon_members``."""
+    return scan_csv(spark, path)
+
+
+def write_raw(records: DataFrame, root: str) -> None:
+    """Raw partitions from a table with the text columns and source_partition: ``{root}/{partition}/master.csv``.
+
+    One pass; the records of a partition are written by one task, in the order of ``row_id``, as a raw file is one file.
+    """
+    spark = records.sparkSession
+    named = records.select("row_id", "source_partition", *(F.col(c).alias(raw) for raw, c in SOURCE_COLUMNS.items()))
+    rows = named.repartition("source_partition").sortWithinPartitions("source_partition", "row_id").drop("row_id")
+    rows.write.partitionBy("source_partition").csv(f"{root}/.written", header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    jvm, p, fs = _fs(spark, f"{root}/.written")
+    for folder in fs.listStatus(p):
+        name = folder.getPath().getName()
+        if folder.isDirectory() and "=" in name:
+            target = jvm.org.apache.hadoop.fs.Path(f"{root}/{unquote(name.split('=', 1)[1])}")
+            fs.mkdirs(target)
+            for part in fs.listStatus(folder.getPath()):
+                if part.getPath().getName().endswith(".csv"):
+                    fs.rename(part.getPath(), jvm.org.apache.hadoop.fs.Path(target, MASTER))
+    fs.delete(p, True)
+
+
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Newline bytes less one, and the header, of plain and zipped CSV files, read in pieces."""
     for b in batches:

@@ -71,6 +71,17 @@ def artifacts(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(rows, "path STRING, bytes BIGINT, modified STRING")
 
 
+def copied(spark: SparkSession, source: str, target: str, names: list[str]) -> DataFrame:
+    """Copy the named outputs of ``source`` that exist to ``target``; (name, copied). Nothing is moved or removed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    rows = []
+    for name in names:
+        a, b = jvm.org.apache.hadoop.fs.Path(f"{source}/{name}"), jvm.org.apache.hadoop.fs.Path(f"{target}/{name}")
+        there = a.getFileSystem(conf).exists(a)
+        rows.append((name, there and jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, True, conf)))
+    return spark.createDataFrame(rows, "name STRING, copied BOOLEAN")
+
+
 #: What the output tables and columns hold.
 DICTIONARY = (
     ("clean_metadata", "Cleaned English records: 31 source columns and 15 derived ones."),

@@ -100,6 +100,18 @@ def test_run_and_resume(spark, raw, tmp_path):
     assert sorted(map(str, spark.read.parquet(again["features"]).collect())) == before
     with pytest.raises(FileNotFoundError):
         pipeline.resume(spark, f"file://{tmp_path}/nothing")
+    assert all(r.copied for r in pipeline.deliver(spark, out, f"file://{tmp_path}/delivered").collect())
+    assert spark.read.parquet(f"file://{tmp_path}/delivered/tables/metadata_features").count() == 150 and (tmp_path / "out" / "report.md").exists()
+
+
+def test_raw_round_trip(spark, raw, tmp_path):
+    root, _ = raw
+    records = partitions.scan(spark, partitions.discover(spark, str(root)))
+    partitions.write_raw(records, f"file://{tmp_path}/raw")
+    again = partitions.scan(spark, partitions.discover(spark, f"file://{tmp_path}/raw"))
+    assert sorted(map(str, again.drop("row_id").collect())) == sorted(map(str, records.drop("row_id").collect()))
+    (tmp_path / "lexicon.csv").write_text("Word,Positive\nRISE,1\n")
+    assert partitions.read_lexicon(spark, f"file://{tmp_path}/lexicon.csv").columns == ["Word", "Positive"]
 
 
 def test_sinks(spark, tmp_path):
