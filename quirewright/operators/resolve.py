@@ -170,7 +170,7 @@ def watched(media: DataFrame, watch_list: DataFrame, top: int = 35) -> DataFrame
 
     A watched publication joins what is observed under its key; observed rows come first, larger ones before smaller.
     """
-    observed = ranked(media, F.col("documents"), F.col("publication_title_canonical"), "corpus_rank")
+    observed = ranked(media, "documents", "publication_title_canonical", "corpus_rank")
     observed = observed.withColumn("publication_key", publication_key(F.col("publication_title_canonical")))
     wanted = watch_list.withColumn("publication_key", publication_key(F.col("reference_publication")))
     shown = ["documents", "corpus_rank", "first_year", "last_year", "top_source_type"]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirewright.functions.text import ratio
+from quirewright.operators.running import running_sum
 from quirewright.session import written
 
 
@@ -119,9 +120,11 @@ def pivot_shares(counts: DataFrame, row: str, column: str, values: list, name: s
     return wide.select(row, *(F.col(f"`{v}`").alias(f"{name}_{v}") for v in values))
 
 
-def ranked(df: DataFrame, by: Column, ties: Column, name: str) -> DataFrame:
-    """A rank from 1, largest first, no equal ranks. Meant for summaries: one task numbers all rows."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(by.desc_nulls_last(), ties)))
+def ranked(df: DataFrame, by: str, ties: str, name: str) -> DataFrame:
+    """A rank from 1, largest ``by`` first, nulls last, no equal ranks; a running sum of ones, so no task sees all rows."""
+    rows = df.withColumns({"_null": F.col(by).isNull(), "_by": -F.col(by), "_ties": F.col(ties), "_one": F.lit(1)})
+    numbered = running_sum(rows, [], ["_null", "_by", "_ties"], "_one", name)
+    return numbered.select(*df.columns, F.col(name).cast("int").alias(name))
 
 
 def anova(df: DataFrame, group: str, value: str, least: int = 30) -> DataFrame:
