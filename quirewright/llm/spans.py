@@ -118,21 +118,28 @@ def _sketcher(span: int, k: int, bits: int, chunk: int):
         import numpy as np
         import pyarrow as pa
 
-        roller, rows = _Roller(), [np.zeros(1 << bits, np.uint8) for _ in range(DEPTH)]
+        roller = _Roller()
+        maps = [(np.zeros(1 << bits - 3, np.uint8), np.zeros(1 << bits - 3, np.uint8)) for _ in range(DEPTH)]
         for b in batches:
             for pieces in _pieces(b.column(1).to_pylist(), span, chunk):
                 h, piece, *_ = _anchored(roller, pieces, span, k)
+                if not len(h):
+                    continue
                 doc = np.array([i for i, _, _ in pieces])[piece]
-                once = np.unique(np.stack([doc.astype(np.uint64), h]), axis=1)[1] if len(h) else h
-                for row, cells in zip(rows, _cells(once, bits), strict=True):
-                    u, c = np.unique(cells, return_counts=True)
-                    row[u] = np.minimum(row[u] + np.minimum(c, 2), 2)  # two is as good as many
-        for r, row in enumerate(rows):
-            for s in range(0, len(row), _SHARD):
-                part = row[s : s + _SHARD]
-                if part.any():
-                    one, two = (np.packbits(part >= level).tobytes() for level in (1, 2))
-                    yield pa.record_batch([pa.array([r], pa.int32()), pa.array([s], pa.int32()), pa.array([one]), pa.array([two])], names=["r", "s", "one", "two"])
+                once = np.unique(np.stack([doc.astype(np.uint64), h]), axis=1)[1]
+                for (one, two), cells in zip(maps, _cells(once, bits), strict=True):
+                    cell, count = np.unique(cells, return_counts=True)
+                    bit = (128 >> (cell & 7)).astype(np.uint8)
+                    byte, first = np.unique(cell >> 3, return_index=True)
+                    now, twice = np.bitwise_or.reduceat(bit, first), np.bitwise_or.reduceat(np.where(count > 1, bit, 0).astype(np.uint8), first)
+                    two[byte] |= twice | (one[byte] & now)  # two is as good as many
+                    one[byte] |= now
+        size = _SHARD >> 3
+        for r, (one, two) in enumerate(maps):
+            for s in range(0, len(one), size):
+                if one[s : s + size].any():
+                    parts = [pa.array([x[s : s + size].tobytes()], pa.binary()) for x in (one, two)]
+                    yield pa.record_batch([pa.array([r], pa.int32()), pa.array([s << 3], pa.int32()), *parts], names=["r", "s", "one", "two"])
 
     return run
 
