@@ -119,7 +119,11 @@ def collapsed(df: DataFrame, columns: Sequence[str], id_column: str, batch_colum
 
 
 def copy_links(df: DataFrame, columns: Sequence[str], id_column: str, batch_column: str) -> DataFrame:
-    """(row_id_a, row_id_b): one row per further copy, with the earliest record of its group."""
+    """(row_id_a, row_id_b): one row per further copy, with the earliest record of its group.
+
+    A record with a null or unusable value in one of the columns is no copy. A row that is repeated with its id counts
+    as another copy but gives no link to itself. Nulls in other columns, and other columns' names, do not matter.
+    """
     keyed = keyed_rows(df, columns, id_column, batch_column)
     groups = ledger_of(keyed).rows().where("n > 1")
     total = groups.agg(F.sum("n")).first()[0] or 0

@@ -20,7 +20,7 @@ def _prefix(bits: int) -> Column:
 
 
 def hashed(items: DataFrame) -> DataFrame:
-    """(field_name, item, h), written once: every level reads the hashes only."""
+    """(field_name, item, h), written once: every level reads the hashes only. Null items are none; '' is one."""
     rows = items.where("item IS NOT NULL").select("field_name", "item", F.xxhash64("field_name", "item").alias("h"))
     return written(rows, "hashed")
 

@@ -170,7 +170,8 @@ def leaked(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: s
     """(item_id, doc_id, shared_words, word_pos): each document that holds ``min_words`` consecutive words of an item.
 
     One row per pair, with the longest shared run and where it begins in the document. Words are the longest runs of
-    letters and digits, letter case ignored. Null and empty texts match nothing. The corpus is read once per block of
+    letters and digits, letter case ignored. Null and empty texts match nothing, items without an id are left out, and a
+    document id that is repeated gives a row for each of its rows. The corpus is read once per block of
     items and never shuffled, so passages that stand in a third of all documents are no burden.
     """
     k = min(K, min_words)
