@@ -14,7 +14,19 @@ from quirewright.operators.duplicates import keep_first
 from quirewright.operators.summaries import ranked
 from quirewright.session import broadcast_if_small, written
 
-#: Names whose lengths differ by more are never compared.
+#: The outcomes of the ladder, its thresholds, and how far lengths of compared names may differ.
+EXACT = "auto-merge; exact normalized publication"
+CONFLICT = "keep separate; conflicting anchor tokens"
+LOW_SAME = "keep separate; low-information anchor tokens"
+SAME = "auto-merge; same anchor tokens"
+LOW_SUBSET = "keep separate; low-information subset anchors"
+SUBSET_WITH_ID = "auto-merge; subset anchor tokens with shared publication id"
+NEAR_WITH_METADATA = "review; metadata-backed near match"
+STRONG_OVERLAP = "review; strong title overlap"
+LOW = "keep separate; low evidence"
+SAME_CHARACTERS, SUBSET_CHARACTERS = 0.6, 0.72
+NEAR_OVERLAP, NEAR_CHARACTERS = 0.6, 0.82
+STRONG_WORDS, STRONG_CHARACTERS = 0.75, 0.9
 LENGTH_BAND = 18
 
 
@@ -60,17 +72,17 @@ def compared_names(pairs: DataFrame, similarity: Column | None = None) -> DataFr
     rows = rows.withColumn("low_information_anchor_match", (F.size(shared) <= 1) & ~F.col("exact"))
     c, low, support = F.col("char_similarity"), F.col("low_information_anchor_match"), F.col("metadata_support")
     same, subset, overlap = F.col("same_anchor_tokens"), F.col("subset_anchor_tokens"), F.col("token_overlap")
-    outcome = (
-        F.when(F.col("exact"), F.lit("auto-merge; exact normalized publication"))
-        .when(F.col("anchor_conflict"), F.lit("keep separate; conflicting anchor tokens"))
-        .when(same & low, F.lit("keep separate; low-information anchor tokens"))
-        .when(same & ((c >= 0.6) | support), F.lit("auto-merge; same anchor tokens"))
-        .when(subset & low, F.lit("keep separate; low-information subset anchors"))
-        .when(subset & F.col("shared_publication_id") & (c >= 0.72), F.lit("auto-merge; subset anchor tokens with shared publication id"))
-        .when(support & (overlap >= 0.6) & (c >= 0.82), F.lit("review; metadata-backed near match"))
-        .when((overlap >= 0.75) & (c >= 0.9), F.lit("review; strong title overlap"))
-        .otherwise(F.lit("keep separate; low evidence"))
+    rules = (
+        (F.col("exact"), EXACT),
+        (F.col("anchor_conflict"), CONFLICT),
+        (same & low, LOW_SAME),
+        (same & ((c >= SAME_CHARACTERS) | support), SAME),
+        (subset & low, LOW_SUBSET),
+        (subset & F.col("shared_publication_id") & (c >= SUBSET_CHARACTERS), SUBSET_WITH_ID),
+        (support & (overlap >= NEAR_OVERLAP) & (c >= NEAR_CHARACTERS), NEAR_WITH_METADATA),
+        ((overlap >= STRONG_WORDS) & (c >= STRONG_CHARACTERS), STRONG_OVERLAP),
     )
+    outcome = F.coalesce(*(F.when(rule, F.lit(name)) for rule, name in rules), F.lit(LOW))
     rows = rows.withColumn("recommendation", outcome)
     rows = rows.withColumns({"auto_merge": F.col("recommendation").startswith("auto-merge"), "needs_review": F.col("recommendation").startswith("review")})
     return rows.drop("lk", "rk", "la", "ra", "exact")

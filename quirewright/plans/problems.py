@@ -9,6 +9,7 @@ from quirewright.operators.packed import PACKED_FIELDS, packed_arrays, packed_ro
 from quirewright.operators.rejects import line_rejects, loaded_lines, value_rejects
 from quirewright.operators.value_profile import ValueCounts, compared, findings, value_deltas
 from quirewright.plans import packed_sql as ps
+from quirewright.schema import TEXT_COLUMNS
 from quirewright.session import new_path, written
 from quirewright.sources.tables import table
 
@@ -54,8 +55,9 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_loaded(spark: SparkSession, folder: str) -> DataFrame:
-    """The valid records of the later delivery, with typed columns."""
-    return loaded_lines(table(spark, folder, "raw_master"), "record_id", "raw_line")
+    """The valid records of the later delivery, with typed columns (the date shown as text)."""
+    loaded = loaded_lines(table(spark, folder, "raw_master"), "record_id", "raw_line")
+    return loaded.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
 
 
 QUERIES = {
@@ -126,6 +128,28 @@ UNION ALL SELECT origin, record_id, 'pages' FROM t
     WHERE {ps.present('p')} AND NOT regexp_full_match(trim(p, {ps.BLANKS}), '[0-9]+([.][0-9]+)?([eE][0-9]+)?')
 """
 
+
+def _field(k: int) -> str:
+    return f"CASE WHEN f[{k}] LIKE '\"%' THEN replace(f[{k}][2:-2], '\"\"', '\"') ELSE f[{k}] END"
+
+
+_OTHER = ", ".join(f"nullif({_field(k)}, '') AS {c}" for k, c in enumerate(TEXT_COLUMNS, 1) if c not in ("goid", "date", "pages"))
+_LOADED = f"""
+WITH l AS (SELECT record_id, regexp_extract_all(',' || raw_line, ',("(?:[^"]|"")*"|[^",]*)', 1) AS f FROM raw_master
+    WHERE regexp_full_match(raw_line, '(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*')),
+v AS (SELECT *, trim({_field(1)}, {ps.BLANKS}) AS g, {_field(3)} AS d, {_field(15)} AS p FROM l WHERE len(f) = 31),
+k AS (SELECT *, {_DATE_TOKENS} AS k FROM v),
+t AS (SELECT *, CASE WHEN regexp_full_match(k, '[0-9]{{4}} [0-9]{{2}} [0-9]{{2}}') THEN try_strptime(k, '%Y %m %d')
+        WHEN regexp_full_match(k, '[0-9]{{8}}') THEN try_strptime(k, '%Y%m%d')
+        WHEN regexp_full_match(k, '[0-9]{{4}}') THEN try_strptime(k, '%Y')
+        WHEN regexp_full_match(k, '({_MONTHS}) [0-9]{{1,2}} [0-9]{{4}}')
+        THEN coalesce(try_strptime(k, '%B %d %Y'), try_strptime(k, '%b %d %Y')) END AS day FROM k)
+SELECT record_id, CAST(g AS BIGINT) AS goid, CASE WHEN {ps.present('d')} THEN strftime(day, '%Y-%m-%d') END AS date,
+    CASE WHEN {ps.present('p')} THEN TRY_CAST(trim(p, {ps.BLANKS}) AS DOUBLE) END AS pages, {_OTHER} FROM t
+WHERE regexp_full_match(g, '[0-9]{{8,10}}') AND (NOT {ps.present('d')} OR (day IS NOT NULL AND year(day) BETWEEN 1850 AND 2026))
+    AND (NOT {ps.present('p')} OR regexp_full_match(trim(p, {ps.BLANKS}), '[0-9]+([.][0-9]+)?([eE][0-9]+)?'))
+"""
+
 ORACLE = {
     "p5_found": f"""
 WITH t AS ({_ITEMS})
@@ -145,4 +169,5 @@ UNION ALL SELECT load_id, column_name, 'shift' FROM f WHERE shift > 0.25""",
     round(missing_share_before, 6) AS missing_share_before, round(distinct_ratio_before, 6) AS distinct_ratio_before,
     round(entropy_before, 6) AS entropy_before, round(shift, 6) AS shift FROM f""",
     "p7_found": _REJECTS,
+    "p7_loaded": _LOADED,
 }

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_OWN: dict[str, str] = {}
 
 #: Rows up to which a side whose size is not fixed by its definition may be broadcast.
 BROADCAST_ROWS = 200_000
@@ -19,8 +20,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="quirewright-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        application = spark.sparkContext.applicationId
+        if application not in _OWN:
+            _OWN[application] = "file://" + tempfile.mkdtemp(prefix="quirewright-")
+        path = _OWN[application]
     return path.rstrip("/")
 
 
