@@ -282,7 +282,7 @@ SELECT source_partition, manifest_rows, master_rows, CAST(31 AS INTEGER) AS mast
 FROM f LEFT JOIN m ON m.dataset_name = source_partition""",
     "scanned_partitions": """
 SELECT source_partition, count(*) AS records, count(DISTINCT nullif(goid, '')) AS goids, count(DISTINCT nullif(title, '')) AS titles,
-    count(DISTINCT nullif(replace(subject_terms, chr(13) || chr(10), chr(10)), '')) AS subjects FROM master GROUP BY 1""",
+    count(DISTINCT nullif(subject_terms, '')) AS subjects FROM master GROUP BY 1""",
     "date_bounds": BASE + f"SELECT {_BOUNDS} FROM r",
     "partition_quality": BASE + _QUALITY,
     "manifest_check": f"SELECT * FROM {_MANIFEST}",
