@@ -112,8 +112,16 @@ def group_counts(df: DataFrame, *groups: str) -> DataFrame:
     return df.groupBy(*groups).agg(F.count(F.lit(1)).alias("documents"))
 
 
-def pivot_shares(counts: DataFrame, row: str, column: str, values: list, name: str) -> DataFrame:
-    """``row`` by the given values of ``column``: each cell's share of its column's sum, 0 where there is nothing."""
+def pivot_shares(counts: DataFrame, row: str, column: str, values: list | None, name: str) -> DataFrame:
+    """``row`` by the values of ``column``: each cell's share of its column's sum, 0 where there is nothing.
+
+    Without ``values``, all that occur in ``column`` are taken, in order.
+    """
+    if values is None:
+        counts = written(counts.where(F.col(column).isNotNull()), "counts")
+        values = sorted(r[0] for r in counts.select(column).distinct().collect())  # a row per value that becomes a column
+        if not values:
+            return counts.select(row)
     total = F.sum("documents").over(Window.partitionBy(column))
     shares = counts.where(F.col(column).isin(*values)).withColumn("share", ratio(F.col("documents"), total))
     wide = shares.groupBy(row).pivot(column, values).agg(F.sum("share")).na.fill(0.0)

@@ -108,9 +108,8 @@ def scanned_partitions(spark, folder):
 
 
 def topic_share_by_decade(spark, folder):
-    """Topics by decade, each cell as a share of its decade."""
-    counts = topic_by_decade(spark, folder).where("decade IS NOT NULL")
-    return rounded(summaries.pivot_shares(counts, "topic_label", "decade", list(range(1980, 2030, 10)), "share"))
+    """Topics by every decade that occurs, each cell as a share of its decade."""
+    return rounded(summaries.pivot_shares(topic_by_decade(spark, folder), "topic_label", "decade", None, "share"))
 
 
 def usable_fields(spark, folder):
@@ -269,10 +268,9 @@ def group_lexicon_totals(spark, folder):
 
 
 def object_type_by_decade_share(spark, folder):
-    """Object types by decade, each cell as a share of its decade."""
+    """Object types by every decade that occurs, each cell as a share of its decade."""
     rows = english_records(spark, folder).withColumn("object_type", F.coalesce("object_type", F.lit("<missing>")))
-    counts = summaries.group_counts(rows.where("decade IS NOT NULL"), "object_type", "decade")
-    return rounded(summaries.pivot_shares(counts, "object_type", "decade", list(range(1980, 2030, 10)), "share"))
+    return rounded(summaries.pivot_shares(summaries.group_counts(rows, "object_type", "decade"), "object_type", "decade", None, "share"))
 
 
 def media_summary(spark, folder):
