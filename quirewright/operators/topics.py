@@ -98,12 +98,18 @@ def long_vectors(vectors: DataFrame, terms: list[str], keep: list[str]) -> DataF
     return pairs.join(F.broadcast(names), "i").drop("i")
 
 
-def _dense(idx, val, width: int) -> np.ndarray:
-    out = np.zeros((len(idx), width))
-    for r, (i, v) in enumerate(zip(idx, val, strict=True)):
-        if i is not None and len(i):
-            out[r, np.asarray(i, int)] = v
-    return out
+def _flat(idx, val) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and value of every entry."""
+    sizes = [0 if i is None else len(i) for i in idx]
+    some = [(i, v) for i, v, n in zip(idx, val, sizes, strict=True) if n]
+    cols = np.concatenate([np.asarray(i, np.int64) for i, _ in some]) if some else np.zeros(0, np.int64)
+    vals = np.concatenate([np.asarray(v, float) for _, v in some]) if some else np.zeros(0)
+    return np.repeat(np.arange(len(sizes)), sizes), cols, vals
+
+
+def _sums(at: np.ndarray, size: int, of: np.ndarray, m: np.ndarray, vals: np.ndarray) -> np.ndarray:
+    """Row ``at`` of the result gets, for every entry, its value times row ``of`` of ``m``."""
+    return np.stack([np.bincount(at, vals * m[of, t], size) for t in range(m.shape[1])], axis=1)
 
 
 def _weights(cross: np.ndarray, gram: np.ndarray, sweeps: int = 60) -> np.ndarray:
@@ -142,13 +148,13 @@ def _block_sums(vectors: DataFrame, h: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wtw, wtx, error = np.zeros((k, k)), np.zeros((k, width)), 0.0
-        gram = shared.value @ shared.value.T
+        gram, by_term = shared.value @ shared.value.T, np.ascontiguousarray(shared.value.T)
         for b in batches:
-            for at in range(0, len(b), 1000):
-                x = _dense(b["idx"].iloc[at : at + 1000], b["val"].iloc[at : at + 1000], width)
-                w = _weights(x @ shared.value.T, gram)
-                wtw, wtx = wtw + w.T @ w, wtx + w.T @ x
-                error += float(((x - w @ shared.value) ** 2).sum())
+            rows, cols, vals = _flat(b["idx"], b["val"])
+            cross = _sums(rows, len(b), cols, by_term, vals)
+            w = _weights(cross, gram)
+            wtw, wtx = wtw + w.T @ w, wtx + _sums(cols, width, rows, w, vals).T
+            error += float((vals * vals).sum() - 2 * (w * cross).sum() + ((w @ gram) * w).sum())
         yield pd.DataFrame({"a": [wtw.tobytes()], "b": [wtx.tobytes()], "e": [error]})
 
     parts = vectors.select("idx", "val").mapInPandas(run, "a BINARY, b BINARY, e DOUBLE").collect()  # one row per partition
@@ -168,10 +174,9 @@ def _start(vectors: DataFrame, width: int, k: int, seed: int) -> np.ndarray:
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             y, total, n = np.zeros((width, k)), 0.0, 0
             for b in batches:
-                for at in range(0, len(b), 1000):
-                    x = _dense(b["idx"].iloc[at : at + 1000], b["val"].iloc[at : at + 1000], width)
-                    y += x.T @ (x @ shared.value)
-                    total, n = total + float(x.sum()), n + x.size
+                rows, cols, vals = _flat(b["idx"], b["val"])
+                y += _sums(cols, width, rows, _sums(rows, len(b), cols, shared.value, vals), vals)
+                total, n = total + float(vals.sum()), n + len(b) * width
             yield pd.DataFrame({"y": [y.tobytes()], "t": [total], "n": [n]})
 
         parts = vectors.select("idx", "val").mapInPandas(run, "y BINARY, t DOUBLE, n BIGINT").collect()
@@ -238,9 +243,12 @@ def topic_terms(df_session, model: TopicModel, n: int = 15) -> DataFrame:
     return df_session.createDataFrame(rows, "topic_id INT, rank INT, term STRING, weight DOUBLE, topic_label STRING")
 
 
-def lda_topics(sample: DataFrame, text: str, k: int = 10, features: int = 5000, min_df: int = 8, n: int = 10, seed: int = 42) -> DataFrame:
-    """(topic_id, top_terms, sample_documents) of a variational LDA on word counts, 20 iterations over the sample."""
-    v = fit_vectorizer(sample, text, features, min_df, bigrams=False)
+def lda_topics(sample: DataFrame, text: str, k: int = 10, features: int = 5000, min_df: int = 8, n: int = 10, seed: int = 42, corpus: DataFrame | None = None) -> DataFrame:
+    """(topic_id, top_terms, sample_documents) of a variational LDA on word counts, 20 iterations over the sample.
+
+    The vocabulary is that of ``corpus`` where it is given, else of the sample.
+    """
+    v = fit_vectorizer(sample if corpus is None else corpus, text, features, min_df, bigrams=False)
     counted = v.counts.transform(v.grams(sample, text)).select(F.col("_counts").alias("features"))
     model = LDA(k=k, maxIter=20, optimizer="online", subsamplingRate=1.0, seed=seed).fit(counted)
     spark = sample.sparkSession

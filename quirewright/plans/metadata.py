@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from quirewright.functions import text as tx
 from quirewright.operators import duplicates, profiling, resolve, sampling, sentiment, summaries, topics
 from quirewright.operators.prepare import prepared
+from quirewright.plans.pipeline import Settings
 from quirewright.schema import CLEAN_COLUMNS, LEXICON_CATEGORIES
 from quirewright.session import new_path, written
 from quirewright.sources import partitions
 from quirewright.sources.tables import table
 
+SETTINGS = Settings()
 FACETS = ["decade", "source_type", "partition_family"]
 
 
@@ -329,10 +331,14 @@ def unobserved_publications(spark, folder):
     return resolve.expected_but_unobserved(media_of(spark, folder), table(spark, folder, "watch_list"))
 
 
-def topic_sample(spark: SparkSession, folder: str) -> DataFrame:
-    rows = sampling.long_enough(english_records(spark, folder), "metadata_text", 5)
-    rows = rows.select("row_id", "decade", "source_type", "title", "metadata_text")
-    return written(sampling.stratified(rows, ["decade", "source_type"], "row_id", 80), "topic_sample")
+def topic_rows(spark: SparkSession, folder: str) -> DataFrame:
+    rows = english_records(spark, folder).select("row_id", "decade", "source_type", "title", "metadata_text")
+    return written(rows, "topic_rows")  # read for the vocabulary, the sample and the assignment
+
+
+def topic_sample(rows: DataFrame) -> DataFrame:
+    some = sampling.long_enough(rows, "metadata_text", 5)
+    return written(sampling.stratified(some, ["decade", "source_type"], "row_id", SETTINGS.per_stratum), "topic_sample")
 
 
 def tfidf_vectors(spark, folder):
@@ -342,20 +348,21 @@ def tfidf_vectors(spark, folder):
     return rounded(topics.long_vectors(v.transform(rows, "metadata_text"), v.terms, ["row_id"]), 7)
 
 
-def _fitted(spark: SparkSession, folder: str):
-    sample = topic_sample(spark, folder)
-    v = topics.fit_vectorizer(sample, "metadata_text", 2000, 5)
-    return v, topics.fit_topics(v.transform(sample, "metadata_text"), v.terms, 12, 12)
+def _fitted(rows: DataFrame):
+    """Vocabulary and document frequencies of all English records, factors of the sample."""
+    v = topics.fit_vectorizer(rows, "metadata_text", SETTINGS.features, SETTINGS.min_df, stop_words=SETTINGS.stop_words)
+    vectors = v.transform(topic_sample(rows), "metadata_text")
+    return v, topics.fit_topics(vectors, v.terms, SETTINGS.n_topics, SETTINGS.rounds)
 
 
 def nmf_topic_terms(spark, folder):
-    return topics.topic_terms(spark, _fitted(spark, folder)[1])
+    return topics.topic_terms(spark, _fitted(topic_rows(spark, folder))[1])
 
 
 def nmf_topics(spark, folder):
     """Topics of every English record, by title and terms and by title alone."""
-    v, model = _fitted(spark, folder)
-    rows = english_records(spark, folder).select("row_id", "decade", "source_type", "title", "metadata_text")
+    rows = topic_rows(spark, folder)
+    v, model = _fitted(rows)
     return topics.assign(topics.assign(rows, "metadata_text", v, model), "title", v, model, "title_only_").drop("title", "metadata_text")
 
 
@@ -372,7 +379,8 @@ def topic_by_source_type(spark, folder):
 
 
 def lda_topics(spark, folder):
-    return topics.lda_topics(topic_sample(spark, folder), "metadata_text", features=2000)
+    rows = topic_rows(spark, folder)
+    return topics.lda_topics(topic_sample(rows), "metadata_text", corpus=rows)
 
 
 QUERIES = {

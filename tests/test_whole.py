@@ -2,11 +2,12 @@
 
 import glob
 import os
+from math import log
 
 import pytest
 
-from quirewright.operators import summaries
-from quirewright.plans import catalog
+from quirewright.operators import summaries, topics
+from quirewright.plans import catalog, metadata
 from quirewright.plans.metadata_sql import BASE
 
 FOLDER = "/root/testdata/sf0.001"
@@ -47,3 +48,22 @@ def test_object_types_of_all_decades(spark):
 def test_topics_of_all_decades(spark):
     decades = {f"share_{d}" for (d,) in duck(BASE + "SELECT DISTINCT decade FROM e WHERE decade IS NOT NULL")}
     assert set(catalog.QUERIES["topic_share_by_decade"](spark, FOLDER).columns) == {"topic_label"} | decades
+
+
+@tables
+def test_topics_of_all_records(spark, monkeypatch):
+    [(size, n)] = duck(BASE + ", g AS (SELECT count(*) AS n FROM e WHERE length(metadata_text) > 5 GROUP BY decade, source_type) SELECT sum(least(n, 1200)), (SELECT count(*) FROM e) FROM g")
+    assert metadata.topic_sample(metadata.topic_rows(spark, FOLDER)).count() == size
+    asked = {}
+    monkeypatch.setattr(topics, "fit_topics", lambda vectors, terms, k, rounds: asked.update(k=k, rounds=rounds))
+    monkeypatch.setattr(metadata.SETTINGS, "per_stratum", 2)
+    v, _ = metadata._fitted(metadata.topic_rows(spark, FOLDER))
+    assert asked == {"k": 12, "rounds": 30}
+    held = dict(topics._grams(metadata.english_records(spark, FOLDER), "metadata_text", True, v.stop_words).selectExpr("explode(array_distinct(_grams)) AS t").groupBy("t").count().collect())
+    assert set(v.terms) <= {t for t, k in held.items() if k >= 10} and len(v.terms) == min(8000, sum(10 <= k <= 0.65 * n for k in held.values()))
+    assert all(abs(i - log((1 + n) / (1 + held[t])) - 1) < 1e-12 for t, i in zip(v.terms, v.idf, strict=True))
+
+
+def test_sparse_sums():
+    rows, cols, vals = topics._flat([[0, 2], None, [], [1]], [[1.0, 2.0], None, [], [3.0]])
+    assert topics._sums(rows, 4, cols, topics.np.eye(3), vals).tolist() == [[1, 0, 2], [0, 0, 0], [0, 0, 0], [0, 3, 0]]
