@@ -15,10 +15,11 @@ import pandas as pd
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, NGram, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirewright.functions.text import CORPUS_STOP_WORDS, ENGLISH_STOP_WORDS, model_terms
+from quirewright.operators.skew import join_groups
 from quirewright.session import written
 
 STOP_WORDS = ENGLISH_STOP_WORDS + CORPUS_STOP_WORDS
@@ -98,6 +99,29 @@ def long_vectors(vectors: DataFrame, terms: list[str], keep: list[str]) -> DataF
     return pairs.join(F.broadcast(names), "i").drop("i")
 
 
+def exact_vectors(df: DataFrame, text: str, keep: list[str], min_df: int = 10, max_df: float = 0.65, bigrams: bool = True, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
+    """(keep, term, weight) of every document, over all terms within the frequency bounds, however many they are.
+
+    The bounds and weights are those of ``fit_vectorizer`` and ``transform``; document frequencies are joined, so no
+    vocabulary reaches the driver.
+    """
+    sorted_ = _grams(df, text, bigrams, stop_words).select(*keep, F.monotonically_increasing_id().alias("_doc"), F.array_sort("_grams").alias("_s"))
+    size = F.size("_s")
+    numbers = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(numbers, lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)))
+    docs = written(sorted_.withColumn("_at", starts), "sorted")
+    runs = F.transform("_at", lambda at, k: F.struct(F.get("_s", at).alias("term"), (F.coalesce(F.get("_at", k + 1), size) - at).alias("_tf")))
+    pairs = docs.select(*keep, "_doc", F.inline(runs))
+    n = docs.count()
+    low = min_df if n >= min_df else 1
+    held = written(pairs.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).where(F.col("_df") >= low), "held")
+    total = held.agg(F.coalesce(F.sum("_df"), F.lit(0))).first()[0]
+    known = join_groups(pairs, held, ["term"], "_df", total).where(F.col("_df") <= max(max_df * n, low))
+    raw = known.withColumn("_w", F.col("_tf") * (F.log((1.0 + n) / (1 + F.col("_df"))) + 1))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("_doc")))
+    return raw.select(*keep, "term", (F.col("_w") / norm).alias("weight"))
+
+
 def _flat(idx, val) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, column and value of every entry."""
     sizes = [0 if i is None else len(i) for i in idx]

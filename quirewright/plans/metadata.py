@@ -342,10 +342,8 @@ def topic_sample(rows: DataFrame) -> DataFrame:
 
 
 def tfidf_vectors(spark, folder):
-    """(row_id, term, weight) of every English record, unigrams that 40 records hold."""
-    rows = written(english_records(spark, folder).select("row_id", "metadata_text"), "texts")
-    v = topics.fit_vectorizer(rows, "metadata_text", 100_000, 40, max_df=1.0, bigrams=False)
-    return rounded(topics.long_vectors(v.transform(rows, "metadata_text"), v.terms, ["row_id"]), 7)
+    """(row_id, term, weight) of every English record: words and pairs that 10 records and at most 65% hold."""
+    return rounded(topics.exact_vectors(english_records(spark, folder), "metadata_text", ["row_id"]), 7)
 
 
 def _fitted(rows: DataFrame):

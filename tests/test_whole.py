@@ -2,6 +2,7 @@
 
 import glob
 import os
+from collections import Counter
 from math import log
 
 import pytest
@@ -67,3 +68,16 @@ def test_topics_of_all_records(spark, monkeypatch):
 def test_sparse_sums():
     rows, cols, vals = topics._flat([[0, 2], None, [], [1]], [[1.0, 2.0], None, [], [3.0]])
     assert topics._sums(rows, 4, cols, topics.np.eye(3), vals).tolist() == [[1, 0, 2], [0, 0, 0], [0, 0, 0], [0, 3, 0]]
+
+
+@tables
+def test_vectors_of_words_and_pairs(spark):
+    rows = topics._grams(metadata.english_records(spark, FOLDER), "metadata_text", True, topics.STOP_WORDS).select("row_id", "_grams").collect()
+    n, held = len(rows), Counter(t for r in rows for t in set(r._grams))
+    want = {}
+    for r in rows:
+        w = {t: k * (log((1 + n) / (1 + held[t])) + 1) for t, k in Counter(r._grams).items() if 10 <= held[t] <= 0.65 * n}
+        want |= {(r.row_id, t): x / sum(y * y for y in w.values()) ** 0.5 for t, x in w.items()}
+    got = {(r.row_id, r.term): r.weight for r in catalog.QUERIES["tfidf_vectors"](spark, FOLDER).collect()}
+    assert any(" " in t for _, t in got) and got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
