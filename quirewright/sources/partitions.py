@@ -7,6 +7,7 @@ import io
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from urllib.parse import unquote
 
 import pandas as pd
@@ -146,10 +147,49 @@ def file_facts(spark: SparkSession, paths: list[str]) -> DataFrame:
     return files.mapInPandas(_counted, "path STRING, physical_rows BIGINT, header ARRAY<STRING>")
 
 
+class _Pieces(io.RawIOBase):
+    """A file of the Hadoop file system, fetched piece by piece."""
+
+    def __init__(self, stream) -> None:
+        self.stream = stream
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        piece = bytes(self.stream.readNBytes(len(into)))
+        into[: len(piece)] = piece
+        return len(piece)
+
+
+def _ends(spark: SparkSession, path: str) -> tuple[list[str], bool]:
+    """The header of a plain file, and whether bytes follow its last line break; reads the two ends only."""
+    _, p, fs = _fs(spark, path)
+    size, stream = fs.getFileStatus(p).getLen(), fs.open(p)
+    try:
+        header = next(csv.reader(io.TextIOWrapper(io.BufferedReader(_Pieces(stream), 1 << 16), "utf-8", errors="replace", newline="")), [])
+        if size:
+            stream.seek(size - 1)
+        return header, bool(size) and bytes(stream.readNBytes(1)) != b"\n"
+    finally:
+        stream.close()
+
+
 def plain_facts(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The same for plain files of any size: lines are counted by Spark's text reader, in splits."""
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"))
-    return lines.groupBy("path").agg(F.greatest(F.count(F.lit(1)) - 1, F.lit(0)).alias("physical_rows"))
+    """The same for plain files of any size: line breaks are counted by Spark's text reader, in splits.
+
+    Of a file only its header and its last byte reach the driver.
+    """
+    ends = [(path, *_ends(spark, path)) for path in paths]
+    parts = [
+        spark.read.text(path, lineSep="\n").agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit(path).alias("path"),
+            F.greatest(F.col("n") - int(open_) - 1, F.lit(0)).cast("bigint").alias("physical_rows"),
+            F.array(*map(F.lit, header)).cast("array<string>").alias("header"),
+        )
+        for path, header, open_ in ends
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def inspected(spark: SparkSession, parts: list[Partition]) -> DataFrame:
@@ -161,7 +201,10 @@ def inspected(spark: SparkSession, parts: list[Partition]) -> DataFrame:
     wanted = [w for w in wanted if exists(spark, w[2])]
     places = spark.createDataFrame([(n, k, "/".join(f.rsplit("/", 2)[-2:])) for n, k, f in wanted], "source_partition STRING, kind STRING, tail STRING")
     tail = F.concat_ws("/", F.slice(F.split("path", "/"), -2, 2))
-    facts = file_facts(spark, [w[2] for w in wanted]).withColumn("tail", tail).join(F.broadcast(places), "tail")
+    found = plain_facts(spark, [f for _, k, f in wanted if k == "master"])
+    if zips := [f for _, k, f in wanted if k != "master"]:
+        found = found.unionByName(file_facts(spark, zips))
+    facts = found.withColumn("tail", tail).join(F.broadcast(places), "tail")
     of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
     wide = facts.groupBy("source_partition").agg(
         *(of(k, "physical_rows").alias(f"{k}_rows") for k in ("master", "extended", "citation")),

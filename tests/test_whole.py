@@ -10,6 +10,8 @@ import pytest
 from quirewright.operators import summaries, topics
 from quirewright.plans import catalog, metadata
 from quirewright.plans.metadata_sql import BASE
+from quirewright.schema import RAW_COLUMNS
+from quirewright.sources import partitions
 
 FOLDER = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the test tables are not here")
@@ -81,3 +83,19 @@ def test_vectors_of_words_and_pairs(spark):
     got = {(r.row_id, r.term): r.weight for r in catalog.QUERIES["tfidf_vectors"](spark, FOLDER).collect()}
     assert any(" " in t for _, t in got) and got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_inspection_of_large_plain_files(spark, tmp_path):
+    line = ",".join(['"two\nlines"'] + ["x"] * 30)
+    texts = {"A b%20c": ",".join(RAW_COLUMNS) + "\n" + (line + "\n") * 50, "Open": "a,\"b\nc\"\r\n1,2\r3", "Void": "", "Only": "a,b"}
+    for name, text in texts.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "master.csv").write_bytes(text.encode())
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 100)
+    try:
+        rows = {r.source_partition: r for r in partitions.inspected(spark, partitions.discover(spark, f"file://{tmp_path}", {"A b%20c": 100})).collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert {n: r.master_rows for n, r in rows.items()} == {n: max(t.count("\n") - 1, 0) for n, t in texts.items()}
+    assert {n: r.master_columns for n, r in rows.items()} == {"A b%20c": 31, "Open": 2, "Void": 0, "Only": 2}
+    assert [n for n, r in rows.items() if r.schema_matches] == ["A b%20c"] and rows["A b%20c"].manifest_rows_match
