@@ -78,20 +78,24 @@ class ValueCounts:
             f"{self.path}/{k:09d}-{k:09d}"
         )
         if len(have) + 1 >= self.merge_at:
-            self.counts().write.option("compression", "zstd").parquet(f"{self.path}/{1:09d}-{k:09d}")
+            self._sums().where("n <> 0").write.option("compression", "zstd").parquet(f"{self.path}/{1:09d}-{k:09d}")
             jvm, root, fs = self._fs()
             for n in [*have, f"{k:09d}-{k:09d}"]:
                 fs.delete(jvm.org.apache.hadoop.fs.Path(root, n), True)
 
-    def counts(self) -> DataFrame:
-        """(load_id, column_name, value, n) with n > 0; one row per value."""
+    def _sums(self) -> DataFrame:
+        """The signed sums of all segments; negative where a withdrawal came before its addition."""
         have = self.segments()
         if not have:
             return self.spark.createDataFrame([], _SCHEMA)
         rows = self.spark.read.schema(_SCHEMA).parquet(*(f"{self.path}/{n}" for n in have))
         if len(have) > 1:
             rows = rows.groupBy(*_KEY).agg(F.sum("n").alias("n"))
-        return rows.where("n > 0")
+        return rows
+
+    def counts(self) -> DataFrame:
+        """(load_id, column_name, value, n) with n > 0; one row per value."""
+        return self._sums().where("n > 0")
 
 
 def profile(counts: DataFrame) -> DataFrame:

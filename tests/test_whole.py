@@ -8,6 +8,7 @@ from math import log
 import pytest
 
 from quirewright.operators import summaries, topics
+from quirewright.operators.value_profile import ValueCounts
 from quirewright.plans import catalog, metadata
 from quirewright.plans.metadata_sql import BASE
 from quirewright.schema import RAW_COLUMNS
@@ -99,3 +100,13 @@ def test_inspection_of_large_plain_files(spark, tmp_path):
     assert {n: r.master_rows for n, r in rows.items()} == {n: max(t.count("\n") - 1, 0) for n, t in texts.items()}
     assert {n: r.master_columns for n, r in rows.items()} == {"A b%20c": 31, "Open": 2, "Void": 0, "Only": 2}
     assert [n for n, r in rows.items() if r.schema_matches] == ["A b%20c"] and rows["A b%20c"].manifest_rows_match
+
+
+def test_withdrawal_before_its_addition(spark, tmp_path):
+    tables = []
+    for merge_at in (2, 8):
+        store = ValueCounts(spark, f"{tmp_path}/{merge_at}", merge_at=merge_at)
+        for value, n in (("a", -2), ("b", 1), ("a", 3), ("b", -1)):
+            store.apply(spark.createDataFrame([(1, "c", value, n)], "load_id INT, column_name STRING, value STRING, n BIGINT"))
+        tables.append([tuple(r) for r in store.counts().collect()])
+    assert tables == [[(1, "c", "a", 1)]] * 2
