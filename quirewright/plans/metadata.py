@@ -155,7 +155,7 @@ def term_frequencies(spark, folder):
 
 def top_subject_terms(spark, folder):
     counts = profiling.term_frequencies(english_records(spark, folder)).where("dimension = 'subject_terms'")
-    return profiling.most_frequent(counts, 200).select("value", "documents")
+    return profiling.most_frequent(counts, 1000).select("value", "documents")
 
 
 def page_statistics(spark, folder):
@@ -198,16 +198,16 @@ def duplicate_flags(spark, folder):
 
 
 def stratum_sizes(spark, folder):
-    """Sizes of a sample of at most 20 records per decade and source type."""
+    """Sizes of a sample of at most 1200 records per decade and source type."""
     rows = sampling.long_enough(english_records(spark, folder), "metadata_text", 5)
-    sample = sampling.stratified(rows.select("row_id", "decade", "source_type"), ["decade", "source_type"], "row_id", 20)
+    sample = sampling.stratified(rows.select("row_id", "decade", "source_type"), ["decade", "source_type"], "row_id", 1200)
     return summaries.group_counts(sample, "decade", "source_type")
 
 
 def capped_sample(spark, folder):
-    """A sample of 500 records with equal caps per stratum."""
+    """A sample of 15,000 records with equal caps per stratum."""
     rows = sampling.long_enough(english_records(spark, folder), "metadata_text", 10).where("decade IS NOT NULL")
-    return sampling.capped(rows.select("row_id", "decade", "source_type", "partition_family"), FACETS, "row_id", 500)
+    return sampling.capped(rows.select("row_id", "decade", "source_type", "partition_family"), FACETS, "row_id", 15_000)
 
 
 def lexicon_lookup(spark, folder):
@@ -235,9 +235,9 @@ def tone_by_decade(spark, folder):
 
 
 def sampled_tone(spark, folder):
-    """Tone by decade of the records of a sample of 20 per stratum."""
+    """Tone by decade of the records of a sample of 1200 per stratum."""
     scored = scored_records(spark, folder).where("decade IS NOT NULL")
-    return sentiment.tone_by_decade(sampling.stratified(scored, ["decade", "source_type"], "row_id", 20))
+    return sentiment.tone_by_decade(sampling.stratified(scored, ["decade", "source_type"], "row_id", 1200))
 
 
 def tone_anova(spark, folder):
@@ -261,7 +261,7 @@ def group_sizes(spark, folder):
 
 def group_terms(spark, folder):
     rows = sampling.long_enough(english_records(spark, folder), "metadata_text", 10)
-    return sentiment.group_terms(rows, "metadata_text", FACETS, 40)
+    return sentiment.group_terms(rows, "metadata_text", FACETS, 120)
 
 
 def group_lexicon_totals(spark, folder):

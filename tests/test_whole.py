@@ -110,3 +110,13 @@ def test_withdrawal_before_its_addition(spark, tmp_path):
             store.apply(spark.createDataFrame([(1, "c", value, n)], "load_id INT, column_name STRING, value STRING, n BIGINT"))
         tables.append([tuple(r) for r in store.counts().collect()])
     assert tables == [[(1, "c", "a", 1)]] * 2
+
+
+@tables
+def test_reference_sizes(spark):
+    run = lambda name: catalog.QUERIES[name](spark, FOLDER)
+    assert run("group_terms").agg({"rank": "max"}).first()[0] == 120
+    [(sizes,)] = duck(BASE + ", g AS (SELECT count(*) AS n FROM e WHERE length(metadata_text) > 5 GROUP BY decade, source_type) SELECT sum(least(n, 1200)) FROM g")
+    assert run("stratum_sizes").agg({"documents": "sum"}).first()[0] == sizes
+    [(n,)] = duck(BASE + "SELECT count(*) FROM e WHERE length(metadata_text) > 10 AND decade IS NOT NULL")
+    assert run("capped_sample").count() == n  # no stratum reaches its cap here
