@@ -226,8 +226,6 @@ SELECT l.name AS "left", r.name AS "right",
 FROM n l JOIN n r ON (l.documents > r.documents OR (l.documents = r.documents AND l.name < r.name))
     AND abs(length(l.name) - length(r.name)) <= 18 AND (list_has_all(l.a, r.a) OR list_has_all(r.a, l.a))"""
 
-_SHARES = ", ".join(f"round(coalesce(max(share) FILTER (decade = {d}), 0), 9) AS share_{d}" for d in range(1980, 2030, 10))
-_BLANK = "CAST(NULL AS BIGINT)"
 _WATCHED = f""", {_MEDIA}, o AS (SELECT *, {publication_key('publication_title_canonical')} AS publication_key,
     CAST(row_number() OVER (ORDER BY documents DESC, publication_title_canonical) AS INTEGER) AS corpus_rank FROM media),
 w AS (SELECT *, {publication_key('reference_publication')} AS publication_key FROM watch_list),
@@ -240,11 +238,12 @@ b AS (SELECT o.publication_key, coalesce(nullif(display_publication_title, ''),
 SELECT *, documents IS NOT NULL AS observed_in_corpus FROM b QUALIFY row_number() OVER (PARTITION BY publication_key ORDER BY
     documents IS NOT NULL DESC, documents DESC NULLS LAST, real_world_reference DESC, why_included DESC, corpus_rank, publication, reference_role) = 1"""
 
-_TFIDF = f""", t AS (SELECT row_id, regexp_extract_all(lower(metadata_text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM e),
-u AS (SELECT row_id, unnest(list_filter(w, lambda x: regexp_full_match(x, '[a-z]{{2,}}')
-    AND x NOT IN ({lits(ENGLISH_STOP_WORDS + CORPUS_STOP_WORDS)}))) AS term FROM t),
+_GRAMS = f"""t AS (SELECT row_id, list_filter(regexp_extract_all(lower(metadata_text), '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]{{2,}}')
+    AND x NOT IN ({lits(ENGLISH_STOP_WORDS + CORPUS_STOP_WORDS)})) AS w FROM e),
+u AS (SELECT row_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM t),
 f AS (SELECT row_id, term, count(*) AS tf FROM u GROUP BY ALL),
-d AS (SELECT term, count(*) AS df FROM f GROUP BY term HAVING count(*) >= 40),
+d AS (SELECT term, count(*) AS df FROM f GROUP BY term HAVING count(*) >= 10 AND count(*) <= 0.65 * (SELECT count(*) FROM e))"""
+_TFIDF = f""", {_GRAMS},
 x AS (SELECT row_id, term, tf * (ln((1 + (SELECT count(*) FROM e)) / (1 + df)) + 1) AS v FROM f JOIN d USING (term))
 SELECT row_id, term, round(v / sqrt(sum(v * v) OVER (PARTITION BY row_id)), 7) AS weight FROM x"""
 
@@ -299,7 +298,7 @@ SELECT source_partition, count(*) AS records, count(DISTINCT nullif(goid, '')) A
     "term_frequencies": BASE + f"SELECT dimension, value, count(*) AS documents FROM ({_TERMS}) WHERE value <> '' GROUP BY ALL",
     "top_subject_terms": BASE
     + f"""SELECT value, count(*) AS documents FROM ({_TERMS}) WHERE value <> '' AND dimension = 'subject_terms'
-GROUP BY ALL ORDER BY documents DESC, value LIMIT 200""",
+GROUP BY ALL ORDER BY documents DESC, value LIMIT 1000""",
     "page_statistics": BASE
     + """SELECT count(pages_numeric) AS n, round(avg(pages_numeric), 6) AS mean_pages, round(stddev_pop(pages_numeric), 6) AS sd_pages,
     min(pages_numeric) AS min_pages, max(pages_numeric) AS max_pages FROM e""",
@@ -330,7 +329,7 @@ FROM e WHERE decade IS NOT NULL GROUP BY decade""",
     + f"""SELECT row_id, {_FLAGS}, row_number() OVER (PARTITION BY {_by(_RULES['duplicate_normalized_title_date_publication'])}
     ORDER BY source_partition, row_id) > 1 AS is_conservative_duplicate_extra FROM e""",
     "stratum_sizes": BASE
-    + "SELECT decade, source_type, least(count(*), 20) AS documents FROM e WHERE length(metadata_text) > 5 GROUP BY ALL",
+    + "SELECT decade, source_type, least(count(*), 1200) AS documents FROM e WHERE length(metadata_text) > 5 GROUP BY ALL",
     "lexicon_lookup": f"SELECT word, array_to_string(list_sort(list(category)), ',') AS categories FROM ({_MEMBERS}) GROUP BY word",
     "lexicon_scores": BASE
     + _SCORED
@@ -363,7 +362,7 @@ FROM s WHERE year >= 2000 AND lm_token_count > 0 AND source_type IS NOT NULL GRO
     + f""", l AS (SELECT *, list_transform(list_filter({tokens('metadata_text')}, lambda w: length(w) > 2 AND w NOT IN ({_STOP})), lambda w: lower(w)) AS tt
     FROM e WHERE length(metadata_text) > 10), g AS ({' UNION ALL '.join(f"SELECT '{f}' AS facet, CAST({f} AS VARCHAR) AS group_value, unnest(tt) AS term FROM l WHERE {f} IS NOT NULL" for f in _FACETS)}),
 c AS (SELECT facet, group_value, term, count(*) AS documents FROM g GROUP BY ALL)
-SELECT *, CAST(row_number() OVER (PARTITION BY facet, group_value ORDER BY documents DESC, term) AS INTEGER) AS rank FROM c QUALIFY rank <= 40""",
+SELECT *, CAST(row_number() OVER (PARTITION BY facet, group_value ORDER BY documents DESC, term) AS INTEGER) AS rank FROM c QUALIFY rank <= 120""",
     "group_lexicon_totals": BASE
     + _SCORED
     + " UNION ALL ".join(
@@ -373,9 +372,9 @@ SELECT *, CAST(row_number() OVER (PARTITION BY facet, group_value ORDER BY docum
         for f in _FACETS
     ),
     "object_type_by_decade_share": BASE
-    + f""", c AS (SELECT coalesce(object_type, '<missing>') AS object_type, decade, count(*) AS n FROM e WHERE decade BETWEEN 1980 AND 2020 GROUP BY ALL),
-h AS (SELECT *, n / sum(n) OVER (PARTITION BY decade) AS share FROM c)
-SELECT object_type, {_SHARES} FROM h GROUP BY object_type""",
+    + """, c AS (SELECT coalesce(object_type, '<missing>') AS object_type, 'share_' || decade AS decade, count(*) AS n FROM e WHERE decade IS NOT NULL GROUP BY ALL),
+h AS (SELECT object_type, decade, round(n / sum(n) OVER (PARTITION BY decade), 9) AS share FROM c)
+PIVOT h ON decade USING coalesce(sum(share), 0) GROUP BY object_type""",
     "media_summary": BASE + ", " + _MEDIA + "SELECT * FROM media",
     "publication_examples": BASE
     + f""", x AS ({_EXAMPLES})
