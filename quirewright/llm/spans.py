@@ -1,10 +1,12 @@
 """Long exact spans shared between records: a count-min prefilter, then exact groups.
 
 Every window of ``SPAN`` characters has a smallest k-gram among those inside it, its anchor; equal windows have equal
-anchors. The first pass counts anchors (once a document) in count-min sketches, one per partition, that are merged.
-The estimate is never too low, so the second pass keeps every anchor held by two documents, and groups exactly only
-those estimated so. The windows of the anchors that remain are grouped exactly in turn. Nothing shared is lost, and
-no pair of documents is ever formed.
+anchors. The first pass counts anchors (once a document) in a count-min sketch: every partition sends the cells it has
+touched, and they are merged by ranges of cells. The estimate is never too low, so the second pass keeps every anchor
+held by two documents, and groups exactly only those estimated so. The sketch is as wide as the texts ask for. Where it
+is too wide to be sent to every worker, the anchors' 8-byte hashes are counted where the shuffle brings them together,
+and texts are read again only for the documents that hold a hash that two have. Nothing shared is lost, and no pair of
+documents is ever formed.
 """
 
 from __future__ import annotations
@@ -16,17 +18,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirewright.operators.skew import join_groups
-from quirewright.session import written
+from quirewright.session import broadcast_if_small, written
 
 SPAN = 160
 #: Characters of an anchor; a window holds SPAN - ANCHOR + 1 of them.
 ANCHOR = 80
-#: Rows of the sketch, and the least and most cells of a row (bits, after merging).
-DEPTH, LEAST_BITS, MOST_BITS = 2, 16, 27
-#: Sketches that are merged in one step; more are first merged in as many groups.
-MERGED_AT_ONCE = 256
+#: Rows of the sketch, and the least cells of a row (bits).
+DEPTH, LEAST_BITS = 2, 16
+#: Bytes of a merged sketch up to which it is sent to every worker.
+SKETCH_BYTES = 64 << 20
+#: Pairs of document and hash up to which they are broadcast rather than shuffled with the texts.
+BROADCAST_PAIRS = 1_000_000
+#: Contexts of one anchor that a task compares at once; anchors with more are grouped by window.
+GROUPED_AT_ONCE = 256
 _CHUNK = 1 << 20
-_SHARD = 1 << 20
+_SHARD_BITS = 20
+_FLUSH = 1 << 20
 
 
 class _Roller:
@@ -113,70 +120,93 @@ def _cells(h, bits: int):
     return [(h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)]
 
 
+def _once(roller: _Roller, texts: list[str | None], span: int, k: int, chunk: int) -> Iterator:
+    """(index of the text, anchor hash), each pair once a piece of text."""
+    import numpy as np
+
+    for pieces in _pieces(texts, span, chunk):
+        h, piece, *_ = _anchored(roller, pieces, span, k)
+        if len(h):
+            doc = np.array([i for i, _, _ in pieces])[piece]
+            order = np.lexsort((h, doc))
+            doc, h = doc[order], h[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
+            yield doc[new], h[new]
+
+
 def _sketcher(span: int, k: int, bits: int, chunk: int):
+    """Cells that a partition touches, in rows (r, shard, cells): offsets in the shard times two, plus one if touched twice."""
+
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        roller = _Roller()
-        maps = [(np.zeros(1 << bits - 3, np.uint8), np.zeros(1 << bits - 3, np.uint8)) for _ in range(DEPTH)]
+        roller, held, size = _Roller(), [], 0
+
+        def flushed():
+            rows, shards, packed = [], [], []
+            for r, cells in enumerate(_cells(np.concatenate(held), bits)):
+                cell, count = np.unique(cells, return_counts=True)
+                shard = cell >> _SHARD_BITS
+                words = (((cell & ((1 << _SHARD_BITS) - 1)) << 1) | (count > 1)).astype("<u4")
+                at = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+                for x, y in zip(at, np.append(at[1:], len(cell)), strict=True):
+                    rows.append(r)
+                    shards.append(int(shard[x]))
+                    packed.append(words[x:y].tobytes())
+            return pa.record_batch([pa.array(rows, pa.int32()), pa.array(shards, pa.int64()), pa.array(packed, pa.binary())], names=["r", "shard", "cells"])
+
         for b in batches:
-            for pieces in _pieces(b.column(1).to_pylist(), span, chunk):
-                h, piece, *_ = _anchored(roller, pieces, span, k)
-                if not len(h):
-                    continue
-                doc = np.array([i for i, _, _ in pieces])[piece]
-                once = np.unique(np.stack([doc.astype(np.uint64), h]), axis=1)[1]
-                for (one, two), cells in zip(maps, _cells(once, bits), strict=True):
-                    cell, count = np.unique(cells, return_counts=True)
-                    bit = (128 >> (cell & 7)).astype(np.uint8)
-                    byte, first = np.unique(cell >> 3, return_index=True)
-                    now, twice = np.bitwise_or.reduceat(bit, first), np.bitwise_or.reduceat(np.where(count > 1, bit, 0).astype(np.uint8), first)
-                    two[byte] |= twice | (one[byte] & now)  # two is as good as many
-                    one[byte] |= now
-        size = _SHARD >> 3
-        for r, (one, two) in enumerate(maps):
-            for s in range(0, len(one), size):
-                if one[s : s + size].any():
-                    parts = [pa.array([x[s : s + size].tobytes()], pa.binary()) for x in (one, two)]
-                    yield pa.record_batch([pa.array([r], pa.int32()), pa.array([s << 3], pa.int32()), *parts], names=["r", "s", "one", "two"])
+            for _, h in _once(roller, b.column(1).to_pylist(), span, k, chunk):
+                held.append(h)
+                size += len(h)
+                if size >= _FLUSH:
+                    yield flushed()
+                    held, size = [], 0
+        if held:
+            yield flushed()
 
     return run
 
 
 def _merge(shard: pd.DataFrame) -> pd.DataFrame:
-    """Cells that reach two in one sketch or one in two of them."""
+    """Bitmap of the cells of a shard that are touched twice in one sketch or in two of them."""
     import numpy as np
 
-    one = two = 0
-    for a, b in zip(shard["one"], shard["two"], strict=True):
-        x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-        two = two | y | (one & x)
-        one = one | x
-    return pd.DataFrame({"r": [shard["r"].iloc[0]], "s": [shard["s"].iloc[0]], "one": [np.asarray(one).tobytes()], "two": [np.asarray(two).tobytes()]})
+    count = np.zeros(1 << _SHARD_BITS, np.uint8)
+    for packed in shard["cells"]:
+        words = np.frombuffer(packed, "<u4")
+        at = words >> 1
+        count[at] = np.minimum(count[at] + 1 + (words & 1), 2)
+    return pd.DataFrame({"r": [shard["r"].iloc[0]], "shard": [shard["shard"].iloc[0]], "two": [np.packbits(count == 2).tobytes()]})
 
 
 def repeated_cells(docs: DataFrame, span: int, k: int, bits: int, chunk: int = _CHUNK) -> list[bytes]:
     """The merged sketch, as one bitmap per row of the cells that count two or more.
 
-    Its size is set by ``bits`` alone (DEPTH * 2**bits / 8 bytes, 32 MB at most). Each partition sends its bitmaps in
-    shards of 2**20 cells; the sketches of very many partitions are merged in two steps.
+    Its size is set by ``bits`` alone (DEPTH * 2**bits / 8 bytes). A partition sends at most four bytes per row and
+    anchor; a shard has 2**20 cells, so with four cells or more per anchor few of them, wherever they come from.
     """
     import numpy as np
 
-    schema = "r INT, s INT, one BINARY, two BINARY"
-    sketches = docs.mapInArrow(_sketcher(span, k, bits, chunk), schema)
-    if docs.rdd.getNumPartitions() > MERGED_AT_ONCE:
-        sketches = sketches.groupBy("r", "s", F.spark_partition_id() % MERGED_AT_ONCE).applyInPandas(lambda key, x: _merge(x), schema)
-    merged = sketches.groupBy("r", "s").applyInPandas(_merge, schema).select("r", "s", "two").collect()
-    maps = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(DEPTH)]
-    for r, s, two in merged:
-        maps[r][s // 8 : s // 8 + len(two)] = np.frombuffer(two, np.uint8)
+    sketches = docs.mapInArrow(_sketcher(span, k, bits, chunk), "r INT, shard BIGINT, cells BINARY")
+    merged = sketches.groupBy("r", "shard").applyInPandas(_merge, "r INT, shard BIGINT, two BINARY").collect()
+    maps = [np.zeros(max(1 << bits, 1 << _SHARD_BITS) // 8, np.uint8) for _ in range(DEPTH)]
+    for r, shard, two in merged:
+        at = shard << _SHARD_BITS - 3
+        maps[r][at : at + len(two)] = np.frombuffer(two, np.uint8)
     return [m.tobytes() for m in maps]
 
 
+_ANCHORS = "key BINARY, context BINARY, doc_id BIGINT, pos BIGINT, windows INT, text STRING"
+
+
 def _keeper(maps, span: int, k: int, bits: int, chunk: int):
-    """Anchors estimated to stand in two documents, with the text of their windows."""
+    """Anchors to group exactly, with the text of their windows.
+
+    With ``maps``, those that the sketch estimates to stand in two documents; without, those among the row's own hashes.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -184,14 +214,19 @@ def _keeper(maps, span: int, k: int, bits: int, chunk: int):
         import xxhash
 
         digest = xxhash.xxh3_128_digest
-        roller, bitmaps = _Roller(), [np.frombuffer(m, np.uint8) for m in maps.value]
+        roller, bitmaps = _Roller(), [np.frombuffer(m, np.uint8) for m in maps.value] if maps is not None else []
         for b in batches:
             ids, out = b.column(0).to_pylist(), []
             for pieces in _pieces(b.column(1).to_pylist(), span, chunk):
                 h, piece, first, count, at = _anchored(roller, pieces, span, k)
                 keep = np.ones(len(h), bool)
-                for m, cells in zip(bitmaps, _cells(h, bits), strict=True):
+                for m, cells in zip(bitmaps, _cells(h, bits), strict=False):
                     keep &= (m[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1
+                if maps is None:
+                    signed = h.view(np.int64)
+                    for p, (i, _, _) in enumerate(pieces):
+                        of = slice(*np.searchsorted(piece, [p, p + 1]))
+                        keep[of] = np.isin(signed[of], b.column(2)[i].values.to_numpy(zero_copy_only=False))
                 for x in np.flatnonzero(keep).tolist():
                     i, offset, text = pieces[piece[x]]
                     f, c, a = int(first[x]), int(count[x]), int(at[x])
@@ -207,6 +242,87 @@ def _keeper(maps, span: int, k: int, bits: int, chunk: int):
     return run
 
 
+def _hasher(span: int, k: int, chunk: int):
+    """(h, doc_id) of all anchors, once a piece of text."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        roller = _Roller()
+        for b in batches:
+            for doc, h in _once(roller, b.column(1).to_pylist(), span, k, chunk):
+                yield pa.record_batch([pa.array(h.view(np.int64)), b.column(0).take(pa.array(doc))], names=["h", "doc_id"])
+
+    return run
+
+
+def _by_counted_hashes(rows: DataFrame, span: int, k: int, chunk: int) -> DataFrame:
+    """The anchors to group exactly, found without a sketch that every worker holds.
+
+    Hashes are counted with partial sums; the pairs of document and repeated hash are joined with the texts. Only
+    hashes and ids are shuffled, and the texts of documents with a repeated hash if there are too many pairs to broadcast.
+    """
+    hashes = written(rows.mapInArrow(_hasher(span, k, chunk), "h BIGINT, doc_id BIGINT"), "hashes")
+    counts = written(hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated_hashes")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    few = broadcast_if_small(counts, BROADCAST_PAIRS)
+    pairs = join_groups(hashes, counts, ["h"], "n", total) if few is counts else hashes.join(few, "h")
+    lists = pairs.groupBy("doc_id").agg(F.collect_set("h").alias("hashes"))
+    if total <= BROADCAST_PAIRS:
+        lists = F.broadcast(lists)
+    return rows.join(lists, "doc_id").select("doc_id", "text", "hashes").mapInArrow(_keeper(None, span, k, 0, chunk), _ANCHORS)
+
+
+def _comparer(span: int):
+    """Runs of shared windows of each context, from partitions sorted by anchor: (context, n, low, high)."""
+
+    def runs(group: list[dict]) -> Iterator[tuple]:
+        import xxhash
+
+        seen: dict[bytes, list[int]] = {}
+        digests = []
+        for c in group:
+            wide = c["text"].encode("utf-32-le")
+            digests.append([xxhash.xxh3_128_digest(wide[4 * j : 4 * (j + span)]) for j in range(c["windows"])])
+            for d in digests[-1]:
+                bounds = seen.setdefault(d, [c["a"], c["z"]])
+                bounds[0], bounds[1] = min(bounds[0], c["a"]), max(bounds[1], c["z"])
+        shared = {d for d, (a, z) in seen.items() if a != z}
+        for c, own in zip(group, digests, strict=True):
+            low = None
+            for j, d in enumerate([*own, None]):
+                if d in shared:
+                    low = j if low is None else low
+                elif low is not None:
+                    yield c["context"], c["n"], low, j - 1
+                    low = None
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def out(found: list[tuple]):
+            context, n, low, high = zip(*found, strict=True)
+            return pa.record_batch(
+                [pa.array(context, pa.binary()), pa.array(n, pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32())], names=["context", "n", "low", "high"]
+            )
+
+        group: list[dict] = []
+        for b in batches:
+            found = []
+            for row in b.to_pylist():
+                if group and row["key"] != group[0]["key"]:
+                    found += runs(group)
+                    group = []
+                group.append(row)
+            if found:
+                yield out(found)
+        if group and (found := list(runs(group))):
+            yield out(found)
+
+    return run
+
+
 def _windows(span: int):
     """Every window of a context, by its 128-bit hash, with the documents that the context stands in."""
 
@@ -239,7 +355,9 @@ def _in_two(rows: DataFrame, key: str) -> tuple[DataFrame, int]:
     return groups, groups.agg(F.sum("n")).first()[0] or 0
 
 
-def shared_runs(docs: DataFrame, doc_id: str, text: str, span: int = SPAN, bits: int | None = None, chunk: int = _CHUNK) -> DataFrame:
+def shared_runs(
+    docs: DataFrame, doc_id: str, text: str, span: int = SPAN, bits: int | None = None, chunk: int = _CHUNK, sketch_bytes: int = SKETCH_BYTES, grouped: int = GROUPED_AT_ONCE
+) -> DataFrame:
     """(doc_id, first, last): runs of windows of ``span`` code points that also stand in another document.
 
     A window is named by the place of its first character; a document's runs cover all its shared windows, one run or
@@ -247,7 +365,8 @@ def shared_runs(docs: DataFrame, doc_id: str, text: str, span: int = SPAN, bits:
     counted once, and only where one anchor has several contexts are their windows compared one by one.
 
     ``bits`` sets the width of the sketch; by default four to eight cells per anchor, counted from the characters of
-    all texts, up to 2**27. A sketch that is too narrow lets more through to the exact groups and changes no result.
+    all texts. A sketch of more than ``sketch_bytes`` is not built: hashes are counted in its place. Neither these
+    nor ``grouped``, the contexts of one anchor that a task compares at once, change the result.
     Texts that are null or shorter than the span have no window. Rows that repeat an id count as one document.
     ``chunk`` is how many characters a worker hashes at a time (2**20 at most); longer texts are taken in pieces.
     """
@@ -256,10 +375,13 @@ def shared_runs(docs: DataFrame, doc_id: str, text: str, span: int = SPAN, bits:
     if bits is None:
         characters = rows.agg(F.sum(F.length("text"))).first()[0] or 0
         cells = 8 * 2 * characters // (span - k + 2)
-        bits = min(MOST_BITS, max(LEAST_BITS, int(cells).bit_length() - 1))
-    maps = docs.sparkSession.sparkContext.broadcast(repeated_cells(rows, span, k, bits, chunk))
-    schema = "key BINARY, context BINARY, doc_id BIGINT, pos BIGINT, windows INT, text STRING"
-    anchors = written(rows.mapInArrow(_keeper(maps, span, k, bits, chunk), schema), "anchors")
+        bits = max(LEAST_BITS, int(cells).bit_length() - 1)
+    if DEPTH * (1 << bits) // 8 <= sketch_bytes:
+        maps = docs.sparkSession.sparkContext.broadcast(repeated_cells(rows, span, k, bits, chunk))
+        anchors = rows.mapInArrow(_keeper(maps, span, k, bits, chunk), _ANCHORS)
+    else:
+        anchors = _by_counted_hashes(rows, span, k, chunk)
+    anchors = written(anchors, "anchors")
 
     contexts = anchors.groupBy("key", "context").agg(
         F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count(F.lit(1)).alias("n"), F.first("windows").alias("windows"), F.first("text").alias("text")
@@ -269,9 +391,25 @@ def shared_runs(docs: DataFrame, doc_id: str, text: str, span: int = SPAN, bits:
     held = written(held.where("a <> z").select("key", "held"), "held")
     whole = contexts.join(held.where("held = 1"), "key").select("context", "n", F.lit(0).alias("low"), (F.col("windows") - 1).alias("high"))
 
-    several = held.where("held > 1")
-    total = several.agg(F.sum("held")).first()[0] or 0
-    varied = join_groups(contexts.select("key", "context", "a", "z", "windows", "text"), several, ["key"], "held", total)
+    some = contexts.join(held.where((F.col("held") > 1) & (F.col("held") <= grouped)).select("key"), "key").repartition("key").sortWithinPartitions("key")
+    compared = some.mapInArrow(_comparer(span), "context BINARY, n BIGINT, low INT, high INT")
+
+    many = held.where(F.col("held") > grouped)
+    total = many.agg(F.sum("held")).first()[0] or 0
+    shared = whole.union(compared)
+    if total:
+        shared = shared.union(_shared_windows(contexts, many, total, span))
+    shared = written(shared.groupBy("context").agg(F.max("n").alias("n"), F.collect_set(F.struct("low", "high")).alias("runs")), "shared")
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    found = join_groups(anchors.select("context", "doc_id", "pos"), shared, ["context"], "n", total)
+    return found.select("doc_id", "pos", F.explode("runs").alias("r")).select(
+        "doc_id", (F.col("pos") + F.col("r.low")).alias("first"), (F.col("pos") + F.col("r.high")).alias("last")
+    )
+
+
+def _shared_windows(contexts: DataFrame, keys: DataFrame, total: int, span: int) -> DataFrame:
+    """(context, n, low, high) for anchors of very many contexts: every window by itself, grouped by its hash."""
+    varied = join_groups(contexts.select("key", "context", "a", "z", "windows", "text"), keys, ["key"], "held", total)
     windows = varied.select("context", "a", "z", "windows", "text").mapInArrow(_windows(span), "key BINARY, context BINARY, a BIGINT, z BIGINT, offset INT")
     windows = written(windows, "windows")
     groups, total = _in_two(windows, "key")
@@ -280,14 +418,7 @@ def shared_runs(docs: DataFrame, doc_id: str, text: str, span: int = SPAN, bits:
     step = F.transform("o", lambda x, i: x - i)
     some = offsets.groupBy("context").agg(F.array_sort(F.collect_set("offset")).alias("o")).withColumn("s", F.arrays_zip("o", step.alias("g")))
     runs = some.select("context", F.explode("s").alias("s")).groupBy("context", F.col("s.g").alias("g")).agg(F.min("s.o").alias("low"), F.max("s.o").alias("high"))
-    parts = runs.join(contexts.select("context", "n").distinct(), "context").select("context", "n", "low", "high")
-
-    shared = written(whole.union(parts).groupBy("context").agg(F.max("n").alias("n"), F.collect_set(F.struct("low", "high")).alias("runs")), "shared")
-    total = shared.agg(F.sum("n")).first()[0] or 0
-    found = join_groups(anchors.select("context", "doc_id", "pos"), shared, ["context"], "n", total)
-    return found.select("doc_id", "pos", F.explode("runs").alias("r")).select(
-        "doc_id", (F.col("pos") + F.col("r.low")).alias("first"), (F.col("pos") + F.col("r.high")).alias("last")
-    )
+    return runs.join(contexts.select("context", "n").distinct(), "context").select("context", "n", "low", "high")
 
 
 def shared_spans(runs: DataFrame, span: int = SPAN) -> DataFrame:

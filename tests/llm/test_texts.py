@@ -97,12 +97,12 @@ def text_docs(rng, span):
     return docs + [(500, pool[0] * 2), (501, "a" * 5 * span), (502, "a" * 3 * span), (503, None), (504, ""), (505, pool[1]), (505, pool[1])]
 
 
-@pytest.mark.parametrize(("span", "bits"), [(20, None), (20, 5), (33, 16), (160, None)])
-def test_spans_against_brute_force(spark, span, bits):
+@pytest.mark.parametrize(("span", "bits", "sketch", "grouped"), [(20, None, 1 << 26, 256), (20, 5, 1 << 26, 256), (33, 16, 0, 2), (20, None, 0, 256), (160, None, 1 << 26, 0)])
+def test_spans_against_brute_force(spark, span, bits, sketch, grouped):
     rng = random.Random(span)
     docs = text_docs(rng, span)
     df = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id INT, text STRING, key STRING").repartition(5)
-    runs = spans.shared_runs(df, "doc_id", "text", span, bits)
+    runs = spans.shared_runs(df, "doc_id", "text", span, bits, sketch_bytes=sketch, grouped=grouped)
     got = {(r.doc_id, p) for r in runs.collect() for p in range(r.first, r.last + 1)}
     want = brute_windows(docs, span)
     assert got == want and len(want) > 100
@@ -121,3 +121,24 @@ def test_spans_of_long_texts(spark):
     got = {(r.doc_id, p) for r in spans.shared_runs(df, "doc_id", "text", chunk=1 << 12).collect() for p in range(r.first, r.last + 1)}
     assert got == brute_windows(docs, 160)
     assert spans.shared_runs(df.limit(0), "doc_id", "text").count() == 0
+
+
+DOCUMENTS = "/root/testdata/sf0.1/documents.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(DOCUMENTS), reason="the test tables are not here")
+@pytest.mark.parametrize(("bits", "sketch"), [(None, 1 << 26), (40, 1 << 26)])
+def test_spans_write_less_than_four_times_the_input(spark, bits, sketch):
+    """With a sketch, and with one too wide to build: what is shuffled and written, against the input."""
+    from quirewright.session import shared_dir
+
+    def disk():
+        of = spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0)
+        folder = shared_dir(spark).removeprefix("file://")
+        return of.totalShuffleWrite() + sum(os.path.getsize(f"{d}/{f}") for d, _, fs in os.walk(folder) for f in fs)
+
+    before = disk()
+    found = spans.shared_runs(spark.read.parquet(DOCUMENTS), "doc_id", "text", bits=bits, sketch_bytes=sketch).select("doc_id").distinct().count()
+    used = (disk() - before) / os.path.getsize(DOCUMENTS)
+    print(f"{found} documents, disk {used:.2f} x input")
+    assert found > 500 and used < 4
