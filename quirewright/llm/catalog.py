@@ -152,9 +152,11 @@ c AS (SELECT field_name, item, count(*) AS n FROM i GROUP BY ALL)
 _LEAKS = """
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all(lower(item_text), '[\\p{L}\\p{N}]+') AS w FROM eval_items),
-dg AS (SELECT doc_id, hash(w[p:p + 12]) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d)),
-ig AS (SELECT item_id, hash(w[p:p + 12]) AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS p FROM i))
-SELECT DISTINCT item_id, doc_id FROM dg JOIN ig USING (g)
+dg AS (SELECT doc_id, p AS dp, hash(w[p:p + 12]) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d)),
+ig AS (SELECT item_id, p AS ip, hash(w[p:p + 12]) AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS p FROM i)),
+m AS (SELECT item_id, doc_id, dp, dp - ip AS shift FROM dg JOIN ig USING (g)),
+n AS (SELECT *, dp - row_number() OVER (PARTITION BY item_id, doc_id, shift ORDER BY dp) AS run FROM m),
+runs AS (SELECT item_id, doc_id, count(*) + 12 AS words FROM n GROUP BY item_id, doc_id, shift, run)
 """
 _SHARED = """
 WITH w AS (SELECT doc_id, p, md5(substr(text, p, 160)) AS h
@@ -172,7 +174,8 @@ ORACLE = {
     "p2_found": _TERMS + "SELECT field_name, term, mark FROM m WHERE mark IS NOT NULL",
     "p2_terms": _TERMS + "SELECT field_name, term, occurrences, records, round(share, 9) AS share, coalesce(mark, '-') AS mark FROM m",
     "p3_found": _NAMED + "SELECT field_name, item FROM c QUALIFY n >= 0.005 * sum(n) OVER (PARTITION BY field_name)",
-    "p8_found": _LEAKS,
+    "p8_found": _LEAKS + "SELECT DISTINCT item_id, doc_id FROM runs",
+    "p8_items": _LEAKS + "SELECT item_id, count(DISTINCT doc_id) AS documents, CAST(max(words) AS INTEGER) AS longest_run FROM runs GROUP BY item_id",
     "p10_found": _SHARED + "SELECT DISTINCT doc_id FROM x",
     "p10_spans": _SHARED + "SELECT * FROM x",
     "p10_shared": _SHARED

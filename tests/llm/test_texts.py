@@ -36,13 +36,16 @@ def test_leaks_against_brute_force(spark, monkeypatch):
     want = {(i, d) for d, t, _ in docs for i, x in items if grams(t) & grams(x)}
     docs_df = spark.createDataFrame(docs, "doc_id INT, text STRING, item_id STRING")
     items_df = spark.createDataFrame(items, "item_id INT, item_text STRING")
-    run = lambda: leakage.leaked(docs_df, "doc_id", "text", items_df, "item_id", "item_text")
-    got = [(r.item_id, r.doc_id) for r in run().where("doc_id <> 1003").collect()]
-    assert len(got) == len(set(got)) and set(got) == {p for p in want if p[1] != 1003} and len(got) > 50
-    assert {r.shared_words for r in run().where("doc_id = 1002 AND item_id >= 92").collect()} == {60}
-    monkeypatch.setattr(leakage, "BLOCK_WORDS", 60)  # many blocks
-    monkeypatch.setattr(leakage, "PAIRS", 3)
-    assert {(r.item_id, r.doc_id) for r in run().collect()} == want
+    run = lambda **how: leakage.leaked(docs_df, "doc_id", "text", items_df, "item_id", "item_text", **how)
+    got = [tuple(r) for r in run().collect()]
+    assert len(got) == len({r[:2] for r in got}) and {r[:2] for r in got} == want and len(got) > 50
+    assert {r[2] for r in got if r[1] == 1002 and r[0] >= 92} == {60}
+    texts, held = {d: t for d, t, _ in docs}, dict(items)
+    for i, d, n, at in got:
+        w = [x.lower() for x in re.findall(r"[^\W_]+", texts[d])]
+        assert tuple(w[at : at + n]) in grams(held[i], n) and not (d < 1000 and grams(texts[d], n + 1) & grams(held[i], n + 1))
+    monkeypatch.setattr(leakage, "HOT_PARTS", 10)
+    assert sorted(tuple(r) for r in run(most=0).collect()) == sorted(got)  # both sides shuffled, common fingerprints split
     assert leakage.leaked(docs_df.limit(0), "doc_id", "text", items_df, "item_id", "item_text").count() == 0
     assert leakage.leaked(docs_df, "doc_id", "text", items_df.limit(0), "item_id", "item_text").count() == 0
 
