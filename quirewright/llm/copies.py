@@ -1,20 +1,27 @@
 """Duplicates hidden by formatting: an incremental ledger of canonical keys.
 
-The ledger is a bucketed table (key, n, first). A batch is counted by key, then joined full outer with the ledger
-bucket by bucket: counts add up, the smallest id stays as the representative. Only the batch is shuffled, as the
-ledger already lies in the buckets of the join.
+The ledger is a list of segments (key, n, first), each a table bucketed by key. A batch is counted by key, which is the
+only shuffle of its rows, and becomes a segment of the buckets it touches. Segments of like size are joined full outer,
+bucket by matching bucket: counts add up, the smallest id stays as the representative. A small batch on a large ledger
+thus writes itself only, and a row is rewritten about as often as the ledger doubles.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quirewright.functions.packed import is_missing
 from quirewright.operators.skew import join_groups
 from quirewright.session import new_path, remove, shuffle_width, written
+from quirewright.sources.sinks import write_text
+
+#: Segments of like size that are put together.
+MERGED = 4
 
 
 def canonical(c: Column) -> Column:
@@ -35,61 +42,99 @@ def canonical_key(columns: Sequence[str]) -> Column:
     return F.when(usable, F.unhex(F.md5(F.array_join(F.array_sort(F.array(*values)), "\x1f"))))
 
 
+def _added(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Two ledgers in one: a full outer join by key."""
+    o, b = old.alias("o"), new.alias("b")
+    return o.join(b, F.col("o.key") == F.col("b.key"), "full_outer").select(
+        F.coalesce("o.key", "b.key").alias("key"),
+        (F.coalesce("o.n", F.lit(0)) + F.coalesce("b.n", F.lit(0))).alias("n"),
+        F.least("o.first", "b.first").alias("first"),
+    )
+
+
 class CopyLedger:
-    """Counts and earliest representatives of canonical keys, kept in a bucketed table from batch to batch.
+    """Counts and earliest representatives of canonical keys, kept from batch to batch and from session to session.
 
-    Each version is a complete table in its own folder under ``path`` and named in the session's catalog; the version
-    before is removed only after the next one is finished, so a failed batch loses nothing.
+    What stands under ``path`` is taken up. The state, a small file per change, names the segments, their rows and the
+    batches that are in; it is written last, and what it no longer names is removed only then, so a failed change
+    loses nothing. The catalog is used for the moment of a read or write only and left without any table.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None) -> None:
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets or shuffle_width(spark)
-        self.version, self._name = 0, "ledger_" + self.path.rpartition("/")[2].replace("-", "_")
-
-    def _table(self, version: int) -> str:
-        return f"{self._name}_v{version}"
-
-    def attach(self, version: int) -> None:
-        """Take up a version that another session has written."""
+        self.spark, self.path = spark, path.rstrip("/")
+        self.buckets, self.change, self.segments, self.batches = buckets or shuffle_width(spark), 0, [], []
+        if (names := self._states()):
+            self.change = int(names[-1].split(".")[0])
+            state = json.loads(spark.read.text(f"{self.path}/state/{names[-1]}", wholetext=True).first()[0])
+            self.buckets, self.segments, self.batches = state["buckets"], state["segments"], state["batches"]
+
+    def _states(self) -> list[str]:
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/state")
+        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        return sorted(n for n in names if n.endswith(".json"))
+
+    def _commit(self, segments: list[dict], batches: list[str]) -> None:
+        jvm, old = self.spark.sparkContext._jvm, self._states()
+        done = f"{self.path}/state/{self.change + 1:09d}.json"
+        write_text(self.spark, f"{done}.new", json.dumps({"buckets": self.buckets, "segments": segments, "batches": batches}))
+        made, named = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{done}.new", done))
+        if not made.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).rename(made, named):
+            raise OSError(f"could not write {done}")
+        gone = [s["name"] for s in self.segments if s not in segments]
+        self.change, self.segments, self.batches = self.change + 1, segments, batches
+        for name in [*gone, *(f"state/{n}" for n in old)]:
+            remove(self.spark, f"{self.path}/{name}")
+
+    def _segment(self, name: str) -> DataFrame:
+        """A segment with its buckets; the table that tells Spark about them is dropped as soon as it is resolved."""
+        table = f"ledger_{uuid.uuid4().hex}"
         self.spark.sql(
-            f"CREATE TABLE {self._table(version)} (key BINARY, n BIGINT, first BIGINT) USING parquet "
-            f"CLUSTERED BY (key) SORTED BY (key) INTO {self.buckets} BUCKETS LOCATION '{self.path}/v{version}'"
+            f"CREATE TABLE {table} (key BINARY, n BIGINT, first BIGINT) USING parquet "
+            f"CLUSTERED BY (key) SORTED BY (key) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'"
         )
-        self.version = version
+        try:
+            return self.spark.table(table)
+        finally:
+            self.spark.sql(f"DROP TABLE {table}")
+
+    def _write(self, rows: DataFrame) -> dict:
+        name, table, seen = f"segment-{uuid.uuid4().hex[:12]}", f"ledger_{uuid.uuid4().hex}", Observation()
+        writer = rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.format("parquet").bucketBy(self.buckets, "key").sortBy("key")
+        writer.option("compression", "zstd").option("path", f"{self.path}/{name}").saveAsTable(table)
+        self.spark.sql(f"DROP TABLE {table}")
+        return {"name": name, "rows": seen.get["rows"]}
+
+    def _joined(self, segments: list[dict]) -> DataFrame:
+        """The sums of several segments: pairs of bucketed segments first, which need no shuffle."""
+        parts = [self._segment(s["name"]) for s in sorted(segments, key=lambda s: s["rows"])]
+        while len(parts) > 1:
+            parts = [_added(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+        return parts[0]
 
     def rows(self) -> DataFrame:
-        if not self.version:
+        """(key, n, first), one row per key; read it before the next batch is added."""
+        if not self.segments:
             return self.spark.createDataFrame([], "key BINARY, n BIGINT, first BIGINT")
-        return self.spark.table(self._table(self.version))
+        return self._joined(self.segments)
 
-    def add(self, batch: DataFrame) -> None:
-        """Add a batch (key, row_id): aggregate it, join it with the matching buckets, write the next version.
+    def add(self, batch: DataFrame, label: str | None = None) -> None:
+        """Add a batch (key, row_id): count it by key, write its segment, put segments of like size together.
 
-        Null keys are no copies of anything and are left out. A repeated delivery of the same batch counts again.
+        Null keys are no copies of anything and are left out. A batch whose ``label`` is in already is left alone; one
+        without a label counts again.
         """
+        if label is not None and label in self.batches:
+            return
         counted = batch.where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first"))
-        if self.version:
-            old, new = self.rows().alias("o"), counted.alias("b")
-            merged = old.join(new, F.col("o.key") == F.col("b.key"), "full_outer").select(
-                F.coalesce("o.key", "b.key").alias("key"),
-                (F.coalesce("o.n", F.lit(0)) + F.coalesce("b.n", F.lit(0))).alias("n"),
-                F.least("o.first", "b.first").alias("first"),
-            )
-        else:
-            merged = counted
-        target = self.version + 1
-        (
-            merged.write.format("parquet")
-            .bucketBy(self.buckets, "key")
-            .sortBy("key")
-            .option("compression", "zstd")
-            .option("path", f"{self.path}/v{target}")
-            .saveAsTable(self._table(target))
-        )
-        if self.version:
-            self.spark.sql(f"DROP TABLE {self._table(self.version)}")
-            remove(self.spark, f"{self.path}/v{self.version}")
-        self.version = target
+        self._commit([*self.segments, self._write(counted)], [*self.batches, label] if label is not None else self.batches)
+        like, size = 1, self.segments[-1]["rows"]
+        while like < len(self.segments) and self.segments[-like - 1]["rows"] <= size:
+            like, size = like + 1, size + self.segments[-like - 1]["rows"]
+        if like >= MERGED:
+            kept, old = self.segments[:-like], self.segments[-like:]
+            self._commit([*kept, self._write(self._joined(old))], self.batches)
 
 
 def keyed_rows(df: DataFrame, columns: Sequence[str], id_column: str, batch_column: str) -> DataFrame:
@@ -100,12 +145,12 @@ def keyed_rows(df: DataFrame, columns: Sequence[str], id_column: str, batch_colu
     return written(rows.where("key IS NOT NULL"), "keyed", ["batch"])
 
 
-def ledger_of(keyed: DataFrame) -> CopyLedger:
-    """The ledger after all batches of ``keyed``, one after the other."""
+def ledger_of(keyed: DataFrame, path: str | None = None) -> CopyLedger:
+    """The ledger after all batches of ``keyed``, one after the other: the one at ``path``, or a fresh one."""
     spark = keyed.sparkSession
-    ledger = CopyLedger(spark, new_path(spark, "ledger"))
+    ledger = CopyLedger(spark, path or new_path(spark, "ledger"))
     for (batch,) in keyed.select("batch").distinct().orderBy("batch").collect():  # a row per load, not per record
-        ledger.add(keyed.where(F.col("batch").eqNullSafe(batch)))
+        ledger.add(keyed.where(F.col("batch").eqNullSafe(batch)), str(batch))
     return ledger
 
 

@@ -1,8 +1,10 @@
+import os
 import random
 import unicodedata
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from quirewright.llm import copies, frequent, terms
 
@@ -49,10 +51,39 @@ def test_copies_against_brute_force(spark, buckets):
     for low in range(0, 600, 200):  # any split into batches gives the same ledger
         ledger.add(keyed.where(f"row_id >= {low} AND row_id < {low + 200}"))
     assert {(r.first, r.n) for r in ledger.rows().collect()} == {(min(g), len(g)) for g in groups.values()}
-    again = copies.CopyLedger(spark, ledger.path, buckets)
-    again._name = f"again_{buckets}_{id(again)}"
-    again.attach(ledger.version)
-    assert again.rows().count() == len(groups)
+    again = copies.CopyLedger(spark, ledger.path)  # another session takes it up
+    assert again.buckets == buckets and again.rows().count() == len(groups)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("ledger_")]
+
+
+def test_small_batch_on_a_large_ledger(spark, tmp_path):
+    def files():
+        return {f: os.path.getsize(f"{d}/{f}") for d, _, names in os.walk(tmp_path) for f in names if f.endswith(".parquet")}
+
+    key = F.unhex(F.md5(F.col("id").cast("string")))
+    ledger = copies.CopyLedger(spark, f"file://{tmp_path}", 64)
+    ledger.add(spark.range(200_000).select(key.alias("key"), F.col("id").alias("row_id")), "first")
+    before = files()
+    ledger.add(spark.range(3).select(key.alias("key"), (F.col("id") + 1_000_000).alias("row_id")), "second")
+    new = {f: n for f, n in files().items() if f not in before}
+    assert before.keys() <= files().keys() and 1 <= len(new) <= 3  # the buckets that the batch touches
+    assert sum(new.values()) < sum(before.values()) / 100
+    again = copies.CopyLedger(spark, f"file://{tmp_path}")
+    again.add(spark.range(3).select(key.alias("key"), F.col("id").alias("row_id")), "second")  # in already
+    got = {r.n: r["count"] for r in again.rows().groupBy("n").count().collect()}
+    assert got == {1: 199_997, 2: 3} and again.rows().where("n = 2").agg(F.max("first")).first()[0] == 2
+
+
+def test_batches_of_like_size_are_put_together(spark):
+    ledger = copies.CopyLedger(spark, copies.new_path(spark, "ledger"), 4)
+    written = []
+    for b in range(12):
+        ledger.add(spark.range(b * 100, b * 100 + 150).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("key"), "id").withColumnRenamed("id", "row_id"), str(b))
+        written.append(len(ledger.segments))
+    assert max(written) <= 6 and sum(s["rows"] for s in ledger.segments) <= 1800
+    assert {r.n: r["count"] for r in ledger.rows().groupBy("n").count().collect()} == {1: 700, 2: 550}
+    plan = ledger._joined(ledger.segments[:2])._jdf.queryExecution().executedPlan().toString() if len(ledger.segments) > 1 else ""
+    assert "Exchange" not in plan  # matching buckets
 
 
 def test_copies_of_nothing(spark):
