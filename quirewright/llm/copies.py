@@ -1,9 +1,10 @@
 """Duplicates hidden by formatting: an incremental ledger of canonical keys.
 
-The ledger is a list of segments (key, n, first), each a table bucketed by key. A batch is counted by key, which is the
-only shuffle of its rows, and becomes a segment of the buckets it touches. Segments of like size are joined full outer,
-bucket by matching bucket: counts add up, the smallest id stays as the representative. A small batch on a large ledger
-thus writes itself only, and a row is rewritten about as often as the ledger doubles.
+The ledger has a base (key, n, first) bucketed by key, and segments of the batches since. A batch is counted by key,
+which is the only shuffle of its rows, and becomes a segment of the buckets it touches. When the segments have as many
+rows as the base, their sums are joined with it full outer, bucket by matching bucket: counts add up, the smallest id
+stays as the representative. A small batch on a large ledger thus writes itself only, and a row is rewritten about as
+often as the ledger doubles.
 """
 
 from __future__ import annotations
@@ -20,10 +21,6 @@ from quirewright.operators.skew import join_groups
 from quirewright.session import new_path, remove, shuffle_width, written
 from quirewright.sources.sinks import write_text
 
-#: Segments of like size that are put together.
-MERGED = 4
-
-
 def canonical(c: Column) -> Column:
     """Letters and digits only, in lower case."""
     return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
@@ -61,80 +58,87 @@ class CopyLedger:
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
-        self.buckets, self.change, self.segments, self.batches = buckets or shuffle_width(spark), 0, [], []
-        if (names := self._states()):
+        self.spark, self.path, self.change = spark, path.rstrip("/"), 0
+        self.state = {"buckets": buckets or shuffle_width(spark), "base": None, "folder": "since-0", "segments": [], "batches": []}
+        if names := self._listed("state"):
             self.change = int(names[-1].split(".")[0])
-            state = json.loads(spark.read.text(f"{self.path}/state/{names[-1]}", wholetext=True).first()[0])
-            self.buckets, self.segments, self.batches = state["buckets"], state["segments"], state["batches"]
-
-    def _states(self) -> list[str]:
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/state")
-        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
-        return sorted(n for n in names if n.endswith(".json"))
-
-    def _commit(self, segments: list[dict], batches: list[str]) -> None:
-        jvm, old = self.spark.sparkContext._jvm, self._states()
-        done = f"{self.path}/state/{self.change + 1:09d}.json"
-        write_text(self.spark, f"{done}.new", json.dumps({"buckets": self.buckets, "segments": segments, "batches": batches}))
+            self.state = json.loads(spark.read.text(f"{self.path}/state/{names[-1]}", wholetext=True).first()[0])
+        for name in set(self._listed(self.state["folder"])) - {s["name"] for s in self.state["segments"]}:
+            remove(spark, f"{self.path}/{self.state['folder']}/{name}")  # left by a batch that failed
+
+    def _listed(self, folder: str) -> list[str]:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted(n for n in names if not n.endswith(".new") and not n.startswith("."))
+
+    def _commit(self, **changes) -> None:
+        """Write the next state, then remove what it no longer names."""
+        jvm, earlier, before = self.spark.sparkContext._jvm, self._listed("state"), self.state
+        after, done = before | changes, f"{self.path}/state/{self.change + 1:09d}.json"
+        write_text(self.spark, f"{done}.new", json.dumps(after))
         made, named = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{done}.new", done))
         if not made.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).rename(made, named):
             raise OSError(f"could not write {done}")
-        gone = [s["name"] for s in self.segments if s not in segments]
-        self.change, self.segments, self.batches = self.change + 1, segments, batches
-        for name in [*gone, *(f"state/{n}" for n in old)]:
+        self.change, self.state = self.change + 1, after
+        gone = [f"state/{n}" for n in earlier]
+        if after["base"] != before["base"]:
+            gone += [before["folder"], *([before["base"]["name"]] if before["base"] else [])]
+        for name in gone:
             remove(self.spark, f"{self.path}/{name}")
 
-    def _segment(self, name: str) -> DataFrame:
-        """A segment with its buckets; the table that tells Spark about them is dropped as soon as it is resolved."""
+    def _read(self, name: str) -> DataFrame:
+        """A folder of segments with its buckets; the table that tells Spark about them is dropped as soon as it is resolved."""
         table = f"ledger_{uuid.uuid4().hex}"
         self.spark.sql(
-            f"CREATE TABLE {table} (key BINARY, n BIGINT, first BIGINT) USING parquet "
-            f"CLUSTERED BY (key) SORTED BY (key) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'"
+            f"CREATE TABLE {table} (key BINARY, n BIGINT, first BIGINT) USING parquet OPTIONS (recursiveFileLookup 'true') "
+            f"CLUSTERED BY (key) SORTED BY (key) INTO {self.state['buckets']} BUCKETS LOCATION '{self.path}/{name}'"
         )
         try:
             return self.spark.table(table)
         finally:
             self.spark.sql(f"DROP TABLE {table}")
 
-    def _write(self, rows: DataFrame) -> dict:
-        name, table, seen = f"segment-{uuid.uuid4().hex[:12]}", f"ledger_{uuid.uuid4().hex}", Observation()
-        writer = rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.format("parquet").bucketBy(self.buckets, "key").sortBy("key")
+    def _write(self, rows: DataFrame, name: str) -> int:
+        """Write a segment; its number of rows."""
+        table, seen = f"ledger_{uuid.uuid4().hex}", Observation()
+        writer = rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.format("parquet").bucketBy(self.state["buckets"], "key").sortBy("key")
         writer.option("compression", "zstd").option("path", f"{self.path}/{name}").saveAsTable(table)
         self.spark.sql(f"DROP TABLE {table}")
-        return {"name": name, "rows": seen.get["rows"]}
+        return seen.get["rows"]
 
-    def _joined(self, segments: list[dict]) -> DataFrame:
-        """The sums of several segments: pairs of bucketed segments first, which need no shuffle."""
-        parts = [self._segment(s["name"]) for s in sorted(segments, key=lambda s: s["rows"])]
-        while len(parts) > 1:
-            parts = [_added(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-        return parts[0]
+    def _since(self) -> DataFrame:
+        """The sums of all segments since the base."""
+        rows = self._read(self.state["folder"])
+        if len(self.state["segments"]) > 1:
+            rows = rows.groupBy("key").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+        return rows
 
     def rows(self) -> DataFrame:
         """(key, n, first), one row per key; read it before the next batch is added."""
-        if not self.segments:
+        base, segments = self.state["base"], self.state["segments"]
+        if not base:
             return self.spark.createDataFrame([], "key BINARY, n BIGINT, first BIGINT")
-        return self._joined(self.segments)
+        return _added(self._read(base["name"]), self._since()) if segments else self._read(base["name"])
 
     def add(self, batch: DataFrame, label: str | None = None) -> None:
-        """Add a batch (key, row_id): count it by key, write its segment, put segments of like size together.
+        """Add a batch (key, row_id): count it by key, write its segment, join the segments with the base if they are as large.
 
         Null keys are no copies of anything and are left out. A batch whose ``label`` is in already is left alone; one
         without a label counts again.
         """
-        if label is not None and label in self.batches:
+        if label is not None and label in self.state["batches"]:
             return
         counted = batch.where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first"))
-        self._commit([*self.segments, self._write(counted)], [*self.batches, label] if label is not None else self.batches)
-        like, size = 1, self.segments[-1]["rows"]
-        while like < len(self.segments) and self.segments[-like - 1]["rows"] <= size:
-            like, size = like + 1, size + self.segments[-like - 1]["rows"]
-        if like >= MERGED:
-            kept, old = self.segments[:-like], self.segments[-like:]
-            self._commit([*kept, self._write(self._joined(old))], self.batches)
+        batches = [*self.state["batches"], *([label] if label is not None else [])]
+        base, name = self.state["base"], uuid.uuid4().hex[:12]
+        if not base:
+            self._commit(base={"name": f"base-{name}", "rows": self._write(counted, f"base-{name}")}, batches=batches)
+            return
+        segments = [*self.state["segments"], {"name": name, "rows": self._write(counted, f"{self.state['folder']}/{name}")}]
+        self._commit(segments=segments, batches=batches)
+        if sum(s["rows"] for s in segments) >= base["rows"]:
+            self._commit(base={"name": f"base-{name}", "rows": self._write(self.rows(), f"base-{name}")}, folder=f"since-{self.change}", segments=[])
 
 
 def keyed_rows(df: DataFrame, columns: Sequence[str], id_column: str, batch_column: str) -> DataFrame:

@@ -52,7 +52,7 @@ def test_copies_against_brute_force(spark, buckets):
         ledger.add(keyed.where(f"row_id >= {low} AND row_id < {low + 200}"))
     assert {(r.first, r.n) for r in ledger.rows().collect()} == {(min(g), len(g)) for g in groups.values()}
     again = copies.CopyLedger(spark, ledger.path)  # another session takes it up
-    assert again.buckets == buckets and again.rows().count() == len(groups)
+    assert again.state["buckets"] == buckets and again.rows().count() == len(groups)
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("ledger_")]
 
 
@@ -74,16 +74,17 @@ def test_small_batch_on_a_large_ledger(spark, tmp_path):
     assert got == {1: 199_997, 2: 3} and again.rows().where("n = 2").agg(F.max("first")).first()[0] == 2
 
 
-def test_batches_of_like_size_are_put_together(spark):
+def test_segments_are_joined_with_the_base(spark):
     ledger = copies.CopyLedger(spark, copies.new_path(spark, "ledger"), 4)
-    written = []
+    waiting = []
     for b in range(12):
         ledger.add(spark.range(b * 100, b * 100 + 150).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("key"), "id").withColumnRenamed("id", "row_id"), str(b))
-        written.append(len(ledger.segments))
-    assert max(written) <= 6 and sum(s["rows"] for s in ledger.segments) <= 1800
+        waiting.append(len(ledger.state["segments"]))
+        got = {r.n: r["count"] for r in ledger.rows().groupBy("n").count().collect()}
+        assert sum(n * k for n, k in got.items()) == 150 * (b + 1) and got.get(2, 0) == 50 * b
+    assert waiting[0] == 0 and max(waiting) > 1
     assert {r.n: r["count"] for r in ledger.rows().groupBy("n").count().collect()} == {1: 700, 2: 550}
-    plan = ledger._joined(ledger.segments[:2])._jdf.queryExecution().executedPlan().toString() if len(ledger.segments) > 1 else ""
-    assert "Exchange" not in plan  # matching buckets
+    assert "Exchange" not in ledger.rows()._jdf.queryExecution().executedPlan().toString()  # matching buckets
 
 
 def test_copies_of_nothing(spark):
