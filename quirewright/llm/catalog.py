@@ -52,15 +52,42 @@ def p3_top(spark: SparkSession, folder: str) -> DataFrame:
     return frequent.top_items(named_items(spark, folder), 50)
 
 
+#: Usual short forms of a city's first word and of a province, and words around a city's name.
+FIRST_WORDS = "saint=st sainte=ste fort=ft mount=mt port=pt north=n north=no south=s south=so east=e west=w"
+PROVINCES = (
+    "AL=ala AZ=ariz AR=ark CA=calif CA=cal CO=colo CT=conn DE=del DC=d.c FL=fla IL=ill IL=ills IN=ind KS=kans KS=kan MA=mass MI=mich "
+    "MN=minn MS=miss MT=mont NE=nebr NE=neb NV=nev NH=n.h NJ=n.j NM=n.mex NY=n.y NC=n.c ND=n.dak OH=o OK=okla OR=ore OR=oreg PA=penna "
+    "PA=penn RI=r.i SC=s.c SD=s.dak TN=tenn TX=tex VT=vt WA=wash WV=w.va WI=wis WI=wisc WY=wyo AB=alta BC=b.c MB=man NB=n.b NS=n.s "
+    "ON=ont PE=p.e.i QC=que QC=p.q SK=sask"
+)
+AROUND = {
+    places.COUNTRY: ("u.s.a", "usa", "u.s", "united states", "canada"),
+    places.BEFORE: ("city of", "town of", "downtown", "greater", "near", "nr"),
+    places.AFTER: ("city office", "head office", "office", "publ", "publishers"),
+}
+
+
+def place_aliases(spark: SparkSession) -> DataFrame:
+    """Aliases for the places of ``place_reference``; any other table of this form will do."""
+    rows = [(kind, *pair.split("=")) for kind, pairs in ((places.WORD, FIRST_WORDS), (places.PROVINCE, PROVINCES)) for pair in pairs.split()]
+    rows += [(kind, "", phrase) for kind, phrases in AROUND.items() for phrase in phrases]
+    return spark.createDataFrame(rows, places.ALIAS_SCHEMA)
+
+
 def mapped(spark: SparkSession, folder: str) -> DataFrame:
     reference = table(spark, folder, "place_reference")
-    return places.mapped_places(table(spark, folder, "master"), reference, "row_id", "publisher_city", "publisher_province")
+    return places.mapped_places(table(spark, folder, "master"), reference, place_aliases(spark), "row_id", "publisher_city", "publisher_province")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return mapped(spark, folder).select("row_id", "place_id")
 
 
+def p4_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """All entries within the distance of each typed city, by name alone."""
+    return places.candidates(table(spark, folder, "master"), table(spark, folder, "place_reference"), place_aliases(spark), "publisher_city")
+
+
 def p4_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     """The typed places that have no entry, with how many records hold them."""
     return places.unmatched_values(mapped(spark, folder))
@@ -119,6 +146,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_top": p3_top,
     "p4_found": p4_found,
+    "p4_candidates": p4_candidates,
     "p4_unmatched": p4_unmatched,
     "p8_found": p8_found,
     "p8_items": p8_items,
@@ -149,6 +177,17 @@ WITH i AS (SELECT 'publication_title' AS field_name, {ps.folded('publication_tit
     UNION ALL SELECT 'authors', {ps.folded('a')} FROM (SELECT unnest({ps.item_list('authors')}) AS a FROM master)),
 c AS (SELECT field_name, item, count(*) AS n FROM i GROUP BY ALL)
 """
+_PLAIN = "list_filter(string_split_regex(regexp_replace(lower(strip_accents({c})), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '')"
+_FIRST = ", ".join("('{}', '{}')".format(*pair.split("=")) for pair in FIRST_WORDS.split())
+_CANDIDATES = f"""
+WITH r AS (SELECT place_id, {_PLAIN.format(c='city')} AS w FROM place_reference),
+n AS (SELECT place_id, array_to_string(w, '') AS name FROM r
+    UNION ALL SELECT place_id, alias || array_to_string(w[2:], '') FROM r JOIN (VALUES {_FIRST}) a(word, alias) ON w[1] = word),
+t AS (SELECT DISTINCT trim(publisher_city, {ps.BLANKS}) AS city FROM master WHERE {ps.present('publisher_city')}),
+k AS (SELECT city, array_to_string({_PLAIN.format(c='city')}, '') AS k FROM t)
+SELECT city, place_id, CAST(min(levenshtein(k, name)) AS INTEGER) AS errors FROM k JOIN n
+    ON levenshtein(k, name) <= CASE WHEN length(k) < 4 THEN 0 WHEN length(k) < 7 THEN 1 ELSE 2 END WHERE k <> '' GROUP BY ALL
+"""
 _LEAKS = """
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all(lower(item_text), '[\\p{L}\\p{N}]+') AS w FROM eval_items),
@@ -174,6 +213,7 @@ ORACLE = {
     "p2_found": _TERMS + "SELECT field_name, term, mark FROM m WHERE mark IS NOT NULL",
     "p2_terms": _TERMS + "SELECT field_name, term, occurrences, records, round(share, 9) AS share, coalesce(mark, '-') AS mark FROM m",
     "p3_found": _NAMED + "SELECT field_name, item FROM c QUALIFY n >= 0.005 * sum(n) OVER (PARTITION BY field_name)",
+    "p4_candidates": _CANDIDATES,
     "p8_found": _LEAKS + "SELECT DISTINCT item_id, doc_id FROM runs",
     "p8_items": _LEAKS + "SELECT item_id, count(DISTINCT doc_id) AS documents, CAST(max(words) AS INTEGER) AS longest_run FROM runs GROUP BY item_id",
     "p10_found": _SHARED + "SELECT DISTINCT doc_id FROM x",

@@ -174,7 +174,7 @@ def copy_links(df: DataFrame, columns: Sequence[str], id_column: str, batch_colu
     as another copy but gives no link to itself. Nulls in other columns, and other columns' names, do not matter.
     """
     keyed = keyed_rows(df, columns, id_column, batch_column)
-    groups = ledger_of(keyed).rows().where("n > 1")
+    groups = written(ledger_of(keyed).rows().where("n > 1"), "groups")
     total = groups.agg(F.sum("n")).first()[0] or 0
     links = join_groups(keyed.select("row_id", "key"), groups, ["key"], "n", total)
     return links.where("row_id <> first").select(F.col("first").alias("row_id_a"), F.col("row_id").alias("row_id_b"))

@@ -84,7 +84,7 @@ def test_texts(spark):
     docs, body = documents(spark)
     items = spark.createDataFrame([(1, body), (None, body), (2, None)], "item_id BIGINT, item_text STRING")
     leaks = [(r.item_id, r.doc_id) for r in leakage.leaked(docs, "doc_id", "text", items, "item_id", "item_text").collect()]
-    assert sorted(leaks) == [(1, 1), (1, 1), (1, 2)]  # a row per item and row of the corpus
+    assert sorted(leaks) == [(1, 1), (1, 2)]  # a row per item and document
     found = {r.doc_id for r in spans.shared_runs(docs, "doc_id", "text").collect()}
     assert found == {1, 2, 5, 6}
     assert spans.shared_runs(docs.where("doc_id = 1"), "doc_id", "text").count() == 0  # a repeated id is one document

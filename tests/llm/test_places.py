@@ -1,6 +1,7 @@
 import random
 
-from quirewright.llm.places import Places, Trie, allowed, mapped_places, unmatched_values
+from quirewright.llm.catalog import place_aliases
+from quirewright.llm.places import ALIAS_SCHEMA, Places, Trie, allowed, candidates, clean, decided, mapped_places, unmatched_values
 
 ENTRIES = [
     (1, "Saint Brannoc", "TX", "Texas"),
@@ -16,7 +17,8 @@ CASES = {
     ("SAINT BRANOC", None): (1, "matched"),
     ("Mt Ossery", "Ga."): (3, "matched"),
     ("Mount Ossery", None): (0, "ambiguous"),
-    ("Mount Ossery", "XX"): (0, "ambiguous"),
+    ("Mount Ossery", "XX"): (0, "unlisted"),
+    ("Windlass", "Bavaria"): (0, "unlisted"),
     ("Mount Ossery", "TX"): (0, "unlisted"),
     ("Mount Ossery, Ohio", None): (2, "matched"),
     ("Mount Ossery / Ohio", "GA"): (0, "unlisted"),
@@ -55,19 +57,46 @@ def test_automaton_against_brute_force():
     assert trie.search("", 2) == {} and [allowed(n) for n in (3, 4, 6, 7)] == [0, 1, 1, 2]
 
 
-def test_resolution():
-    places = Places(ENTRIES)
-    assert {k: places.resolve(*k) for k in CASES} == CASES
+def test_resolution(spark):
+    places = Places(ENTRIES, [tuple(r) for r in place_aliases(spark).collect()])
+    assert {k: decided(places.meant(*k)) for k in CASES} == CASES
+    assert decided(Places(ENTRIES, []).meant("St. Brannoc", "TX")) == (0, "unlisted")  # aliases come from the table alone
 
 
 def test_rows(spark):
     reference = spark.createDataFrame(ENTRIES, "place_id INT, city STRING, province STRING, province_name STRING")
     rows = [(i, c, p, "x") for i, (c, p) in enumerate(CASES)] + [(100, "Windlass", "NY", "x"), (101, " n/a ", "NY", "x"), (102, "Windlass", "N/A", "x"), (103, "w" * 100_000, "NY", "x")]
+    rows += [(1000 + i, "Windlas", "NY", "x") for i in range(300)]
     df = spark.createDataFrame(rows, "row_id INT, city STRING, province STRING, place_id STRING")
-    mapped = mapped_places(df, reference, "row_id", "city", "province")
+    aliases = place_aliases(spark)
+    mapped = mapped_places(df, reference, aliases, "row_id", "city", "province")
     got = {r.row_id: (r.place_id, r.status) for r in mapped.collect()}
     want = {i: v for i, v in enumerate(CASES.values()) if list(CASES)[i][0] is not None}
-    assert got == want | {102: (6, "matched"), 103: (0, "unlisted")}
+    assert got == want | {102: (6, "matched"), 103: (0, "unlisted")} | {1000 + i: (6, "matched") for i in range(300)}
     assert unmatched_values(mapped).count() == sum(1 for v in got.values() if v[0] == 0)
-    assert mapped_places(df.limit(0), reference, "row_id", "city", "province").count() == 0
-    assert {r.place_id for r in mapped_places(df, reference.limit(0), "row_id", "city", "province").collect()} == {0}
+    in_blocks = mapped_places(df, reference, aliases, "row_id", "city", "province", block=2)
+    assert {r.row_id: (r.place_id, r.status) for r in in_blocks.collect()} == got
+    assert mapped_places(df.limit(0), reference, aliases, "row_id", "city", "province").count() == 0
+    assert mapped_places(df.limit(0), reference, aliases, "row_id", "city", "province", block=2).count() == 0
+    assert {r.place_id for r in mapped_places(df, reference.limit(0), aliases, "row_id", "city", "province").collect()} == {0}
+
+
+def test_candidates_against_brute_force(spark):
+    rng = random.Random(4)
+    names = sorted({"".join(rng.choices("abc", k=rng.randint(1, 8))) for _ in range(60)})
+    entries = [(i, n, "X", "Ex") for i, n in enumerate(names)] + [(900, "Mount Abc", "X", "Ex"), (901, None, "X", "Ex")]
+    typed = ["".join(rng.choices("abcd", k=rng.randint(1, 9))) for _ in range(80)] + ["Mt. Abc", "mt abcc", None, " N/A ", "--"]
+    reference = spark.createDataFrame(entries, "place_id INT, city STRING, province STRING, province_name STRING")
+    df = spark.createDataFrame([(t, 1) for t in typed + typed], "city STRING, place_id INT")
+    aliases = spark.createDataFrame([("first_word", "mount", "mt")], ALIAS_SCHEMA)
+    forms = {i: ["".join(clean(n))] for i, n, _, _ in entries if n} | {900: ["mountabc", "mtabc"]}
+    want = set()
+    for t in typed[:-3]:
+        key = "".join(clean(t))
+        for i, names in forms.items():
+            least = min(distance(n, key) for n in names)
+            if least <= allowed(len(key)):
+                want.add((t, i, least))
+    for block in (200_000, 7):
+        rows = [tuple(r) for r in candidates(df, reference, aliases, "city", block).collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want
