@@ -20,8 +20,11 @@ CANADIAN_PROVINCES = (
     "MANITOBA", "NEW BRUNSWICK", "NEWFOUNDLAND AND LABRADOR", "NOVA SCOTIA", "NORTHWEST TERRITORIES", "NUNAVUT",
     "ONTARIO", "PRINCE EDWARD ISLAND", "QUEBEC", "SASKATCHEWAN", "YUKON",
 )
-CITY_HINTS = {"new york n y": "New York", "new york": "New York", "washington d c": "Washington", "washington": "Washington"}
-STATE_HINTS = {"new york n y": "NY", "washington d c": "DC"}
+#: How a city may be written, its name, and its state where the writing tells it.
+CITIES = (("new york n y", "New York", "NY"), ("new york", "New York", None), ("washington d c", "Washington", "DC"), ("washington", "Washington", None))
+CITY_HINTS = {written: city for written, city, _ in CITIES}
+STATE_HINTS = {written: state for written, _, state in CITIES if state}
+#: Cities whose country is known.
 CANADIAN_CITIES = ("toronto", "montreal", "ottawa", "vancouver")
 FOREIGN_CITIES = {
     "abingdon": "United Kingdom",

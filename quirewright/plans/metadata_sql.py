@@ -32,13 +32,15 @@ def title_case(x: str) -> str:
 
 
 def publication_key(c: str) -> str:
-    x = f"regexp_replace({clean(c)}, ' *\\([^)]*\\) *', ' ', 'g')"
-    x = f"regexp_replace({x}, '\\b(pre[- ]?[0-9]{{4}}|online|fulltext|full text)\\b', ' ', 'gi')"
-    x = f"regexp_replace({x}, '[''’]s\\b', 's', 'gi')"
-    x = f"regexp_replace({x}, '^\\s*the\\s+', '', 'i')"
-    x = f"regexp_replace({x}, '\\b(inc|llc|ltd|corp|corporation|company|co)\\b\\.?', ' ', 'gi')"
-    x = title_case(f"regexp_replace({key(x)}, '\\bu s\\b', 'us', 'g')")
-    return f"coalesce(nullif(replace({x}, 'Us ', 'US '), ''), 'Unknown')"
+    """Every word between blanks of its own, so that each pattern takes whole words away."""
+    plain = f"trim(regexp_replace({clean(c)}, '\\([^)]*\\)', ' ', 'g'))"
+    plain = f"regexp_replace({plain}, '^((?:online|fulltext|full text|pre[- ]?[0-9]{{4}}) +)*the +', '', 'i')"
+    plain = f"regexp_replace({plain}, '[''’]s\\b', 's', 'gi')"
+    x = f"(' ' || replace({key(plain)}, ' ', '  ') || ' ')"
+    x = f"regexp_replace({x}, ' (pre(  )?[0-9]{{4}}|online|fulltext|full  text) ', '', 'g')"
+    x = f"regexp_replace({x}, ' (inc|llc|ltd|corp|corporation|company|co) ', '', 'g')"
+    x = f"trim(regexp_replace(replace({x}, ' u  s ', ' us '), ' +', ' ', 'g'))"
+    return f"coalesce(nullif(regexp_replace({title_case(x)}, '\\bUs ', 'US ', 'g'), ''), 'Unknown')"
 
 
 def items(c: str) -> str:
@@ -99,8 +101,9 @@ r AS (SELECT *, strftime(day, '%Y-%m-%d') AS publication_date, CAST(year(day) AS
     array_to_string(list_filter([{clean('title')}, array_to_string(subject_items[1:12], ' '), array_to_string(class_items[1:12], ' ')],
         lambda x: x <> ''), ' ') AS metadata_text
     FROM r2)),
-r_display AS (SELECT *, coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_replace({clean('publication_title')},
-    ' *\\([^)]*\\) *', ' ', 'g'), '^\\s*the\\s+', '', 'i'), ' +', ' ', 'g')), ''), publication_title_normalized) AS publication_title_display FROM r),
+r_display AS (SELECT *, coalesce(nullif(array_to_string(shown[CASE WHEN len(shown) > 1 AND lower(shown[1]) = 'the' THEN 2 ELSE 1 END:], ' '), ''),
+    publication_title_normalized) AS publication_title_display
+    FROM (SELECT *, regexp_extract_all(regexp_replace({clean('publication_title')}, '\\([^)]*\\)', ' ', 'g'), '[^ ]+') AS shown FROM r)),
 e AS (SELECT * FROM r_display WHERE language = 'English'),
 """
 BASE = BASE.rstrip().rstrip(",") + "\n"

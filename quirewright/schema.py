@@ -53,6 +53,8 @@ def require(have: list[str], need: list[str], what: str) -> None:
     if absent:
         raise MissingColumns(f"{what} lacks the columns {', '.join(absent)}")
 
+
+#: The derived columns of the clean table, in order.
 DERIVED_COLUMNS = [
     "source_partition",
     "partition_family",
@@ -72,7 +74,9 @@ DERIVED_COLUMNS = [
 ]
 CLEAN_COLUMNS = TEXT_COLUMNS + DERIVED_COLUMNS
 
+#: The categories of the lexicon.
 LEXICON_CATEGORIES = ("positive", "negative", "uncertainty", "litigious", "constraining", "strong_modal", "weak_modal")
+#: The duplicate flags of the feature table, in order.
 DUPLICATE_FLAGS = [
     "duplicate_goid",
     "duplicate_exact_title_date_publication",
