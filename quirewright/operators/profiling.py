@@ -163,8 +163,11 @@ def _metric_rows(one_row: DataFrame, names: list[str]) -> DataFrame:
     return one_row.select(F.inline(each))
 
 
-def core_summary(df: DataFrame) -> DataFrame:
-    """(metric, value): sizes, time range, invalid dates, number of source types and of English publications."""
+def core_summary(df: DataFrame, sample: DataFrame | None = None, lexicon_source: str | None = None) -> DataFrame:
+    """(metric, value): sizes, time range, invalid dates, number of source types and of English publications.
+
+    With the ``sample`` that topics are fitted on and the ``lexicon_source``, also its size and where the lexicon is from.
+    """
     isenglish = F.col("language") == "English"
     one = df.agg(
         F.count(F.lit(1)).alias("raw_documents"),
@@ -175,7 +178,12 @@ def core_summary(df: DataFrame) -> DataFrame:
         F.count_distinct(F.coalesce("source_type", F.lit(MISSING_LABEL))).alias("source_type_count"),
         F.count_distinct(F.when(isenglish, F.col("publication_title_normalized"))).alias("normalized_publications"),
     )
-    return _metric_rows(one, one.columns)
+    rows = _metric_rows(one, one.columns)
+    if sample is not None:
+        rows = rows.union(_metric_rows(sample.agg(F.count(F.lit(1)).alias("topic_sample_rows")), ["topic_sample_rows"]))
+    if lexicon_source is not None:
+        rows = rows.union(df.sparkSession.createDataFrame([("lexicon_source", lexicon_source)], "metric STRING, value STRING"))
+    return rows
 
 
 def coverage_metrics(df: DataFrame) -> DataFrame:

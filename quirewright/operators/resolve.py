@@ -43,33 +43,33 @@ def _subset(a: Column, b: Column) -> Column:
     return F.size(F.array_except(a, b)) == 0
 
 
-def compared_names(pairs: DataFrame, similarity: Column | None = None) -> DataFrame:
-    """The features of every pair and the outcome of the ladder.
-
-    ``pairs`` has left, right, shared_publication_id and shared_top_publisher. The first rule that fits decides; rules
-    that need the character similarity come after those that need words only.
-    """
+def _word_features(pairs: DataFrame) -> DataFrame:
+    """What two names have in common by their words; ``pairs`` has left, right and the two flags of shared metadata."""
     rows = pairs.withColumns(
         {"lk": key(F.col("left")), "rk": key(F.col("right")), "la": name_anchors(F.col("left")), "ra": name_anchors(F.col("right"))}
     )
     la, ra = F.col("la"), F.col("ra")
     shared, left_only, right_only = F.array_intersect(la, ra), F.array_except(la, ra), F.array_except(ra, la)
     union = F.size(F.array_union(la, ra))
-    rows = rows.withColumns(
+    exact = F.col("lk") == F.col("rk")
+    return rows.withColumns(
         {
-            "char_similarity": character_similarity(F.col("lk"), F.col("rk")) if similarity is None else similarity,
             "token_overlap": F.when(union == 0, F.lit(1.0)).otherwise(F.size(shared) / F.nullif(union, F.lit(0))),
             "shared_anchor_tokens": joined_set(shared),
             "left_only_anchor_tokens": joined_set(left_only),
             "right_only_anchor_tokens": joined_set(right_only),
             "anchor_conflict": (F.size(shared) > 0) & (F.size(left_only) > 0) & (F.size(right_only) > 0),
-            "exact": F.col("lk") == F.col("rk"),
+            "exact": exact,
             "same_anchor_tokens": _subset(la, ra) & _subset(ra, la),
             "subset_anchor_tokens": (F.size(la) > 0) & (F.size(ra) > 0) & (_subset(la, ra) | _subset(ra, la)),
             "metadata_support": F.col("shared_publication_id") | F.col("shared_top_publisher"),
+            "low_information_anchor_match": (F.size(shared) <= 1) & ~exact,
         }
-    )
-    rows = rows.withColumn("low_information_anchor_match", (F.size(shared) <= 1) & ~F.col("exact"))
+    ).drop("la", "ra")
+
+
+def _ladder(rows: DataFrame) -> DataFrame:
+    """The outcome of every pair: the first rule that fits decides, those by words before those by characters."""
     c, low, support = F.col("char_similarity"), F.col("low_information_anchor_match"), F.col("metadata_support")
     same, subset, overlap = F.col("same_anchor_tokens"), F.col("subset_anchor_tokens"), F.col("token_overlap")
     rules = (
@@ -85,42 +85,70 @@ def compared_names(pairs: DataFrame, similarity: Column | None = None) -> DataFr
     outcome = F.coalesce(*(F.when(rule, F.lit(name)) for rule, name in rules), F.lit(LOW))
     rows = rows.withColumn("recommendation", outcome)
     rows = rows.withColumns({"auto_merge": F.col("recommendation").startswith("auto-merge"), "needs_review": F.col("recommendation").startswith("review")})
-    return rows.drop("lk", "rk", "la", "ra", "exact")
+    return rows.drop("lk", "rk", "exact")
+
+
+def compared_names(pairs: DataFrame, similarity: Column | None = None) -> DataFrame:
+    """The features of every pair and the outcome of the ladder.
+
+    ``pairs`` has left, right, shared_publication_id and shared_top_publisher.
+    """
+    rows = _word_features(pairs)
+    return _ladder(rows.withColumn("char_similarity", character_similarity(F.col("lk"), F.col("rk")) if similarity is None else similarity))
+
+
+def _hopeful(rows: DataFrame) -> DataFrame:
+    """The pairs that the ladder accepts or puts to review if their characters are alike enough; the others need no comparison."""
+    words = F.col("same_anchor_tokens") | (F.col("subset_anchor_tokens") & F.col("shared_publication_id"))
+    words = words | (F.col("metadata_support") & (F.col("token_overlap") >= NEAR_OVERLAP)) | (F.col("token_overlap") >= STRONG_WORDS)
+    return rows.where(F.col("exact") | (~F.col("anchor_conflict") & ~F.col("low_information_anchor_match") & words))
 
 
 def candidate_pairs(media: DataFrame) -> DataFrame:
     """Pairs of names that the ladder can accept, larger publication on the left (ties by name).
 
-    An accepted pair has equal keys or no conflict, and shares at least two anchor words, so the anchors of one name
-    are a subset of the other's. Each name is therefore joined by its rarest anchor only, to the names that hold it;
-    nothing is lost, and a word that many names hold does not pair them all. The length band is part of the rule.
+    An accepted pair has equal keys, or shares two anchor words at least and has no conflict, so the anchors of one name
+    are a subset of the other's. Each name of two anchors or more is therefore joined by its two rarest together, to the
+    names that hold both; nothing is lost, and a word that many names hold pairs none of them. Names that differ by more
+    than the length band are not compared.
     """
     names = media.select(
         F.col("publication_title_canonical").alias("name"), "documents", "publication_ids", clean(F.col("top_publisher")).alias("publisher")
     ).where("name IS NOT NULL")
-    anchors = name_anchors(F.col("name"))
-    anchors = F.when(F.size(anchors) == 0, F.array(F.lit(""))).otherwise(anchors)
-    words = written(names.withColumn("anchors", anchors).select("*", F.explode("anchors").alias("word")), "name_words")
+    named = written(names.withColumns({"anchors": F.array_sort(name_anchors(F.col("name"))), "key": key(F.col("name"))}), "names")
+    words = named.where(F.size("anchors") > 1).select("name", F.explode("anchors").alias("word"))
     frequency = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    rarest = words.join(frequency, "word").groupBy("name").agg(F.min(F.struct("n", "word")).alias("r")).select("name", F.col("r.word").alias("word"))
-    small = words.join(rarest, ["name", "word"], "left_semi")
-    a, b = small.alias("a"), words.alias("b")
+    # two structs a name suffice; the smallest two come from sorting at most as many as a name has words
+    rarest = words.join(frequency, "word").groupBy("name").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "word"))), 1, 2).alias("r"))
+    small = named.join(rarest.select("name", F.array_sort(F.transform("r", lambda x: x["word"])).alias("two")), "name")
+    small = written(small, "rarest")
+    wanted = small.select("two").distinct()
+    several = F.transform("anchors", lambda w, i: F.transform(F.slice("anchors", i + 2, F.size("anchors")), lambda v: F.array(w, v)))
+    large = named.where(F.size("anchors") > 1).withColumn("two", F.explode(F.flatten(several))).join(wanted, "two", "left_semi")
     near = F.abs(F.length("a.name") - F.length("b.name")) <= LENGTH_BAND
-    inside = _subset(F.col("a.anchors"), F.col("b.anchors"))
-    joined = a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.name") != F.col("b.name")) & near & inside)
-    ids = F.arrays_overlap(F.split(F.coalesce("a.publication_ids", F.lit("")), "; "), F.split(F.coalesce("b.publication_ids", F.lit("")), "; "))
-    first = (F.col("a.documents") > F.col("b.documents")) | ((F.col("a.documents") == F.col("b.documents")) & (F.col("a.name") < F.col("b.name")))
+    other = F.col("a.name") != F.col("b.name")
+    columns = ["name", "documents", "publication_ids", "publisher"]
+    both = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "ab" for c in columns]
+    by_words = small.alias("a").join(large.alias("b"), (F.col("a.two") == F.col("b.two")) & other & near & _subset(F.col("a.anchors"), F.col("b.anchors"))).select(*both)
+    by_key = named.alias("a").join(named.alias("b"), (F.col("a.key") == F.col("b.key")) & other & near).select(*both)
+    joined = by_words.union(by_key)
+    ids = F.arrays_overlap(F.split(F.coalesce("a_publication_ids", F.lit("")), "; "), F.split(F.coalesce("b_publication_ids", F.lit("")), "; "))
+    first = (F.col("a_documents") > F.col("b_documents")) | ((F.col("a_documents") == F.col("b_documents")) & (F.col("a_name") < F.col("b_name")))
     return joined.select(
-        F.when(first, F.col("a.name")).otherwise(F.col("b.name")).alias("left"),
-        F.when(first, F.col("b.name")).otherwise(F.col("a.name")).alias("right"),
+        F.when(first, F.col("a_name")).otherwise(F.col("b_name")).alias("left"),
+        F.when(first, F.col("b_name")).otherwise(F.col("a_name")).alias("right"),
         ids.alias("shared_publication_id"),
-        ((F.col("a.publisher") == F.col("b.publisher")) & (F.col("a.publisher") != "")).alias("shared_top_publisher"),
+        ((F.col("a_publisher") == F.col("b_publisher")) & (F.col("a_publisher") != "")).alias("shared_top_publisher"),
     ).distinct()
 
 
 def alias_audit(media: DataFrame) -> DataFrame:
-    """Every pair of names to merge or to review, with its evidence; two empty id lists count as shared."""
-    found = compared_names(candidate_pairs(media)).where("auto_merge OR needs_review")
+    """Every pair of names to merge or to review, with its evidence; two empty id lists count as shared.
+
+    Characters are compared last, and only for the pairs that can still be accepted.
+    """
+    rows = _hopeful(_word_features(candidate_pairs(media)))
+    found = _ladder(rows.withColumn("char_similarity", character_similarity(F.col("lk"), F.col("rk")))).where("auto_merge OR needs_review")
     return found.select(
         F.col("left").alias("publication_left"),
         F.col("right").alias("publication_right"),
@@ -141,17 +169,22 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFram
     """(node, component): the smallest node of each connected component; ``nodes`` (node), ``edges`` (src, dst).
 
     Labels of small numbers of nodes travel along edges and then jump to the label of their label, so a chain of n
-    nodes takes about log n rounds. Each round is written, which cuts the lineage. Raises if ``rounds`` are not enough.
+    nodes takes about log n rounds. Only nodes that have an edge take part; the others are components of their own.
+    Each round is written, which cuts the lineage. Raises if ``rounds`` are not enough.
     """
     both = written(edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).where("src <> dst").distinct(), "edges")
-    labels = written(nodes.select("node", F.col("node").alias("label")), "labels")
+    linked = both.select(F.col("src").alias("node")).distinct()
+    alone = nodes.join(linked, "node", "left_anti").select("node", F.col("node").alias("component"))
+    labels = written(nodes.join(linked, "node", "left_semi").select("node", F.col("node").alias("label")), "labels")
+    if labels.isEmpty():
+        return alone
     for _ in range(rounds):
         near = both.join(labels, both.dst == labels.node).groupBy("src").agg(F.min("label").alias("near"))
         low = labels.join(near, labels.node == near.src, "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = low.select(F.col("node").alias("via"), F.col("label").alias("far"))
         new = written(low.join(jump, low.label == jump.via, "left").select("node", "old", F.least("label", "far").alias("label")), "labels")
         if new.where("label <> old").isEmpty():
-            return new.select("node", F.col("label").alias("component"))
+            return new.select("node", F.col("label").alias("component")).union(alone)
         labels = new.select("node", "label")
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 

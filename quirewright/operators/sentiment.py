@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from quirewright.functions.text import cloud_tokens, ratio, tokens
 from quirewright.schema import LEXICON_CATEGORIES
-from quirewright.session import broadcast_if_small
-
 
 
 def lexicon_members(lexicon: DataFrame) -> DataFrame:
@@ -30,40 +28,31 @@ def category_lookup(members: DataFrame) -> DataFrame:
     return members.groupBy("word").agg(F.array_sort(F.collect_set("category")).alias("categories"))
 
 
-def _category_arrays(members: DataFrame) -> dict[str, list[str]]:
-    words: dict[str, list[str]] = {c: [] for c in LEXICON_CATEGORIES}
-    for word, category in members.orderBy("category", "word").collect():
-        words[category].append(word)
-    return words
-
-
-def _member_of(words: list[str]):
-    return lambda w: w.isin(*words)
+#: Words that a lexicon may have; it is a list made by hand, held in every task.
+LEXICON_WORDS = 1_000_000
 
 
-#: Words up to which the lexicon is put into the plan as literals, so that scoring needs no join.
-INLINE_WORDS = 2_000
+def _in_list(words: list[str]) -> str:
+    return ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words)
 
 
-def scores(df: DataFrame, text: str, members: DataFrame, row_id: list[str]) -> DataFrame:
+def scores(df: DataFrame, text: str, members: DataFrame) -> DataFrame:
     """``df`` with lm_token_count, a count and a rate per category, and lm_net_tone.
 
-    A small lexicon becomes set-membership expressions, evaluated where the text lies. A larger one is joined with the
-    exploded words, counted by row and joined back on ``row_id``. Repeated words count each time; a text without words
-    scores 0.
+    The lexicon becomes hashed sets in the plan: a text's words are first cut down to those of the lexicon, of which
+    each category is counted where the text lies. Repeated words count each time; a text without words scores 0.
     """
-    if members.limit(INLINE_WORDS + 1).count() <= INLINE_WORDS:
-        words = _category_arrays(members)
-        out = df.withColumn("_words", tokens(F.col(text)))
-        counts = {c: F.size(F.filter("_words", _member_of(words[c]))) if words[c] else F.lit(0) for c in LEXICON_CATEGORIES}
-        out = out.withColumns({"lm_token_count": F.size("_words").cast("bigint")} | {f"lm_{c}": n.cast("bigint") for c, n in counts.items()})
-        return _rates(out.drop("_words"))
-    exploded = df.select(*row_id, F.explode(tokens(F.col(text))).alias("word"))
-    hits = exploded.join(broadcast_if_small(members), "word").groupBy(*row_id).agg(
-        *(F.count_if(F.col("category") == c).alias(f"lm_{c}") for c in LEXICON_CATEGORIES)
-    )
-    out = df.withColumn("lm_token_count", F.size(tokens(F.col(text))).cast("bigint")).join(hits, row_id, "left")
-    return _rates(out.withColumns({f"lm_{c}": F.coalesce(f"lm_{c}", F.lit(0).cast("bigint")) for c in LEXICON_CATEGORIES}))
+    rows = members.limit(len(LEXICON_CATEGORIES) * LEXICON_WORDS + 1).collect()
+    words: dict[str, list[str]] = {c: [] for c in LEXICON_CATEGORIES}
+    for word, category in sorted(rows):
+        words[category].append(word)
+    known = sorted({w for w, _ in rows})
+    if len(known) > LEXICON_WORDS:
+        raise ValueError(f"the lexicon has more than {LEXICON_WORDS} words")
+    out = df.withColumn("_words", tokens(F.col(text)))
+    out = out.withColumns({"lm_token_count": F.size("_words").cast("bigint"), "_hits": F.expr(f"filter(_words, w -> w IN ({_in_list(known)}))") if known else F.lit(None)})
+    counts = {c: F.expr(f"size(filter(_hits, w -> w IN ({_in_list(words[c])})))") if words[c] else F.lit(0) for c in LEXICON_CATEGORIES}
+    return _rates(out.withColumns({f"lm_{c}": n.cast("bigint") for c, n in counts.items()}).drop("_words", "_hits"))
 
 
 def _rates(df: DataFrame) -> DataFrame:
@@ -119,7 +108,7 @@ def group_terms(df: DataFrame, text: str, facets: list[str], k: int = 120) -> Da
 def group_lexicon_totals(df: DataFrame, text: str, facets: list[str], members: DataFrame) -> DataFrame:
     """(facet, group_value, documents, lm_token_count, a sum per category); null groups are left out."""
     narrow = df.select(*facets, F.col(text).alias("_text"))
-    scored = scores(narrow.withColumn("_id", F.monotonically_increasing_id()), "_text", members, ["_id"])
+    scored = scores(narrow, "_text", members)
     rows = _facets(scored, facets, F.col("lm_token_count"), *(F.col(f"lm_{c}") for c in LEXICON_CATEGORIES)).where("group_value IS NOT NULL")
     sums = [F.sum(f"lm_{c}").alias(f"lm_{c}") for c in LEXICON_CATEGORIES]
     return rows.groupBy("facet", "group_value").agg(F.count(F.lit(1)).alias("documents"), F.sum("lm_token_count").alias("lm_token_count"), *sums)

@@ -13,8 +13,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, NGram, StopWordsRemover
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ from quirewright.session import written
 
 STOP_WORDS = ENGLISH_STOP_WORDS + CORPUS_STOP_WORDS
 _RIDGE = 1e-9
+#: Tasks that the factors are fitted by; each holds a part of the sample.
+FITTED_PARTS = 32
 
 
 @dataclass
@@ -44,23 +47,12 @@ class Vectorizer:
 
     def transform(self, df: DataFrame, text: str) -> DataFrame:
         """``df`` with the arrays ``idx`` and ``val``: term counts times idf, of length 1 in all (empty for no term)."""
-        shared = df.sparkSession.sparkContext.broadcast((self.terms, self.idf))
-
-        @F.pandas_udf("idx ARRAY<INT>, val ARRAY<DOUBLE>")
-        def weigh(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            number, idf = {t: i for i, t in enumerate(shared.value[0])}, np.asarray(shared.value[1])
-            for s in parts:
-                idx, val = [], []
-                for grams in s:
-                    found = [number[g] for g in grams if g in number] if grams is not None else []
-                    i, n = np.unique(np.asarray(found, np.int32), return_counts=True)
-                    w = n * idf[i]
-                    idx.append(i)
-                    val.append(w / max(np.sqrt((w * w).sum()), _RIDGE))
-                yield pd.DataFrame({"idx": idx, "val": val})
-
-        rows = self.grams(df, text).withColumn("_v", weigh("_grams"))
-        return rows.select(*df.columns, F.col("_v.idx").alias("idx"), F.col("_v.val").alias("val"))
+        if not self.terms:
+            return df.withColumns({"idx": F.array().cast("array<int>"), "val": F.array().cast("array<double>")})
+        rows = self.counts.transform(self.grams(df, text)).drop("_grams")
+        rows = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol="_counts", outputCol="_weighed").transform(rows)
+        rows = Normalizer(p=2.0, inputCol="_weighed", outputCol="_unit").transform(rows).withColumn("_v", F.unwrap_udt("_unit"))
+        return rows.select(*df.columns, F.col("_v.indices").alias("idx"), F.col("_v.values").alias("val"))
 
 
 def _grams(df: DataFrame, text: str, bigrams: bool, stop_words: Sequence[str]) -> DataFrame:
@@ -76,14 +68,14 @@ def fit_vectorizer(
 ) -> Vectorizer:
     """Vocabulary of the most frequent terms of the sample within the frequency bounds, and idf = ln((1+n)/(1+df)) + 1.
 
-    Bigrams are formed after the stop words are gone. Fewer documents than ``min_df`` leave an empty vocabulary out:
-    the bound is lowered to one document then.
+    Bigrams are formed after the stop words are gone. Raises if there are fewer documents than ``min_df``: no term could
+    be held by so many.
     """
     grams = written(_grams(sample.select(text), text, bigrams, stop_words).select("_grams"), "grams")
     n = grams.count()
-    low = min_df if n >= min_df else 1
-    top = max(max_df * n, low)
-    vector = CountVectorizer(inputCol="_grams", outputCol="_counts", vocabSize=features, minDF=float(low), maxDF=float(top))
+    if n < min_df:
+        raise ValueError(f"{n} documents, but a term must be held by {min_df}")
+    vector = CountVectorizer(inputCol="_grams", outputCol="_counts", vocabSize=features, minDF=float(min_df), maxDF=float(max(max_df * n, min_df)))
     model = vector.fit(grams)
     held = grams.select(F.explode(F.array_distinct("_grams")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     known = sample.sparkSession.createDataFrame([(t,) for t in model.vocabulary], "term STRING")
@@ -103,7 +95,7 @@ def exact_vectors(df: DataFrame, text: str, keep: list[str], min_df: int = 10, m
     """(keep, term, weight) of every document, over all terms within the frequency bounds, however many they are.
 
     The bounds and weights are those of ``fit_vectorizer`` and ``transform``; document frequencies are joined, so no
-    vocabulary reaches the driver.
+    vocabulary reaches the driver. Fewer documents than ``min_df`` have no term.
     """
     sorted_ = _grams(df, text, bigrams, stop_words).select(*keep, F.monotonically_increasing_id().alias("_doc"), F.array_sort("_grams").alias("_s"))
     size = F.size("_s")
@@ -113,10 +105,9 @@ def exact_vectors(df: DataFrame, text: str, keep: list[str], min_df: int = 10, m
     runs = F.transform("_at", lambda at, k: F.struct(F.get("_s", at).alias("term"), (F.coalesce(F.get("_at", k + 1), size) - at).alias("_tf")))
     pairs = docs.select(*keep, "_doc", F.inline(runs))
     n = docs.count()
-    low = min_df if n >= min_df else 1
-    held = written(pairs.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).where(F.col("_df") >= low), "held")
+    held = written(pairs.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).where((F.col("_df") >= min_df) & (F.col("_df") <= max(max_df * n, min_df))), "held")
     total = held.agg(F.coalesce(F.sum("_df"), F.lit(0))).first()[0]
-    known = join_groups(pairs, held, ["term"], "_df", total).where(F.col("_df") <= max(max_df * n, low))
+    known = join_groups(pairs, held, ["term"], "_df", total)
     raw = known.withColumn("_w", F.col("_tf") * (F.log((1.0 + n) / (1 + F.col("_df"))) + 1))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("_doc")))
     return raw.select(*keep, "term", (F.col("_w") / norm).alias("weight"))
@@ -217,7 +208,8 @@ def _start(vectors: DataFrame, width: int, k: int, seed: int) -> np.ndarray:
 
 def fit_topics(vectors: DataFrame, terms: list[str], k: int = 12, rounds: int = 30, tolerance: float = 1e-4, seed: int = 42) -> TopicModel:
     """Non-negative factors of the sample's vectors; the error never rises from round to round."""
-    vectors = written(vectors.select("idx", "val"), "vectors")
+    # of a bounded sample, so in few parts: each returns matrices of topics by terms
+    vectors = written(vectors.select("idx", "val").coalesce(FITTED_PARTS), "vectors")
     width = len(terms)
     h, errors = _start(vectors, width, k, seed), []
     for _ in range(rounds):
@@ -245,8 +237,8 @@ def assign(df: DataFrame, text: str, vectorizer: Vectorizer, model: TopicModel,
         h = shared.value
         gram, by_term = h @ h.T, np.ascontiguousarray(h.T)
         for idx, val in parts:
-            cross = np.array([v @ by_term[i] if len(i) else np.zeros(len(h)) for i, v in zip(idx, val, strict=True)]).reshape(-1, len(h))
-            w = _weights(cross, gram)
+            rows, cols, vals = _flat(idx, val)
+            w = _weights(_sums(rows, len(idx), cols, by_term, vals), gram)
             yield pd.DataFrame({"topic": w.argmax(axis=1).astype(np.int16), "weight": w.max(axis=1, initial=0).astype(np.float32)})
 
     rows = vectorizer.transform(df, text).withColumn("_best", best("idx", "val"))

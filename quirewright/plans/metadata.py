@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 from quirewright.functions import text as tx
 from quirewright.operators import duplicates, profiling, resolve, sampling, sentiment, summaries, topics
 from quirewright.operators.prepare import prepared
-from quirewright.plans.pipeline import Settings
+from quirewright.plans.pipeline import FACETS, Settings
 from quirewright.schema import CLEAN_COLUMNS, LEXICON_CATEGORIES
 from quirewright.session import new_path, written
 from quirewright.sources import partitions
 from quirewright.sources.tables import table
 
 SETTINGS = Settings()
-FACETS = ["decade", "source_type", "partition_family"]
 
 
 def records(spark: SparkSession, folder: str, language: str | None = None) -> DataFrame:
@@ -163,7 +162,9 @@ def page_statistics(spark, folder):
 
 
 def core_summary(spark, folder):
-    return profiling.core_summary(records(spark, folder))
+    """Sizes, bounds and counts, the rows of the topic sample and the source of the lexicon."""
+    english = english_records(spark, folder).select("row_id", "decade", "source_type", "metadata_text")
+    return profiling.core_summary(records(spark, folder), topic_strata(english), "lexicon.parquet")
 
 
 def coverage_metrics(spark, folder):
@@ -218,7 +219,7 @@ def lexicon_lookup(spark, folder):
 def scored_records(spark: SparkSession, folder: str) -> DataFrame:
     members = sentiment.lexicon_members(table(spark, folder, "lexicon"))
     rows = english_records(spark, folder).select("row_id", "year", "decade", "source_type", "partition_family", "metadata_text")
-    return sentiment.scores(rows, "metadata_text", members, ["row_id"])
+    return sentiment.scores(rows, "metadata_text", members)
 
 
 def lexicon_scores(spark, folder):
@@ -237,7 +238,7 @@ def tone_by_decade(spark, folder):
 def sampled_tone(spark, folder):
     """Tone by decade of the records of a sample of 1200 per stratum."""
     scored = scored_records(spark, folder).where("decade IS NOT NULL")
-    return sentiment.tone_by_decade(sampling.stratified(scored, ["decade", "source_type"], "row_id", 1200))
+    return rounded(sentiment.tone_by_decade(sampling.stratified(scored, ["decade", "source_type"], "row_id", 1200)))
 
 
 def tone_anova(spark, folder):
@@ -332,13 +333,17 @@ def unobserved_publications(spark, folder):
 
 
 def topic_rows(spark: SparkSession, folder: str) -> DataFrame:
-    rows = english_records(spark, folder).select("row_id", "decade", "source_type", "title", "metadata_text")
+    rows = english_records(spark, folder).select("row_id", "decade", "source_type", "partition_family", "title", "metadata_text")
     return written(rows, "topic_rows")  # read for the vocabulary, the sample and the assignment
 
 
-def topic_sample(rows: DataFrame) -> DataFrame:
+def topic_strata(rows: DataFrame) -> DataFrame:
     some = sampling.long_enough(rows, "metadata_text", 5)
-    return written(sampling.stratified(some, ["decade", "source_type"], "row_id", SETTINGS.per_stratum), "topic_sample")
+    return sampling.stratified(some, ["decade", "source_type"], "row_id", SETTINGS.per_stratum)
+
+
+def topic_sample(rows: DataFrame) -> DataFrame:
+    return written(topic_strata(rows), "topic_sample")
 
 
 def tfidf_vectors(spark, folder):
@@ -361,7 +366,7 @@ def nmf_topics(spark, folder):
     """Topics of every English record, by title and terms and by title alone."""
     rows = topic_rows(spark, folder)
     v, model = _fitted(rows)
-    return topics.assign(topics.assign(rows, "metadata_text", v, model), "title", v, model, "title_only_").drop("title", "metadata_text")
+    return topics.assign(topics.assign(rows, "metadata_text", v, model), "title", v, model, "title_only_").drop("title", "metadata_text", "partition_family")
 
 
 def topic_counts(spark, folder):
@@ -376,6 +381,24 @@ def topic_by_source_type(spark, folder):
     return summaries.group_counts(nmf_topics(spark, folder), "source_type", "topic_id", "topic_label")
 
 
+def topic_totals(spark, folder):
+    """By decade and source type, the documents and how many of them have a topic by terms and by title: none is lost."""
+    rows = nmf_topics(spark, folder).withColumn("source_type", F.coalesce("source_type", F.lit("<missing>")))
+    has = lambda c: F.count_if(F.col(c) >= 0)
+    return rows.groupBy("decade", "source_type").agg(
+        F.count(F.lit(1)).alias("documents"), has("topic_id").alias("with_topic"), has("title_only_topic_id").alias("with_title_topic")
+    )
+
+
+def notebook_topic_terms(spark, folder):
+    """The smaller model of the exploration: 10 topics over 5000 terms held by 8 records, on the capped sample."""
+    rows = topic_rows(spark, folder)
+    some = sampling.long_enough(rows, "metadata_text", 10).where("decade IS NOT NULL AND source_type IS NOT NULL")
+    sample = written(sampling.capped(some, FACETS, "row_id", 15_000), "capped_sample")
+    v = topics.fit_vectorizer(rows, "metadata_text", 5000, 8, stop_words=SETTINGS.stop_words)
+    return topics.topic_terms(spark, topics.fit_topics(v.transform(sample, "metadata_text"), v.terms, 10, SETTINGS.rounds), 10)
+
+
 def lda_topics(spark, folder):
     rows = topic_rows(spark, folder)
     return topics.lda_topics(topic_sample(rows), "metadata_text", corpus=rows)
@@ -393,6 +416,6 @@ QUERIES = {
         tone_group_statistics, pages_anova, group_sizes, group_terms, group_lexicon_totals, object_type_by_decade_share,
         media_summary, publication_examples, alias_pairs, alias_audit, canonical_names, canonical_components, canonical_media,
         canonical_rollup, watched_publications, unobserved_publications, tfidf_vectors, nmf_topic_terms, nmf_topics,
-        topic_counts, topic_by_decade, topic_by_source_type, topic_share_by_decade, lda_topics,
+        topic_counts, topic_by_decade, topic_by_source_type, topic_share_by_decade, topic_totals, notebook_topic_terms, lda_topics,
     )
 }

@@ -227,7 +227,8 @@ SELECT l.name AS "left", r.name AS "right",
     list_has_any(string_split(l.publication_ids, '; '), string_split(r.publication_ids, '; ')) AS shared_publication_id,
     l.pub = r.pub AND l.pub <> '' AS shared_top_publisher
 FROM n l JOIN n r ON (l.documents > r.documents OR (l.documents = r.documents AND l.name < r.name))
-    AND abs(length(l.name) - length(r.name)) <= 18 AND (list_has_all(l.a, r.a) OR list_has_all(r.a, l.a))"""
+    AND abs(length(l.name) - length(r.name)) <= 18
+    AND ({key('l.name')} = {key('r.name')} OR (len(list_intersect(l.a, r.a)) > 1 AND (list_has_all(l.a, r.a) OR list_has_all(r.a, l.a))))"""
 
 _WATCHED = f""", {_MEDIA}, o AS (SELECT *, {publication_key('publication_title_canonical')} AS publication_key,
     CAST(row_number() OVER (ORDER BY documents DESC, publication_title_canonical) AS INTEGER) AS corpus_rank FROM media),
@@ -252,6 +253,14 @@ SELECT row_id, term, round(v / sqrt(sum(v * v) OVER (PARTITION BY row_id)), 7) A
 
 _BREAKS = " + ".join(f"length(coalesce({_NAMES.get(c, c)}, '')) - length(replace(coalesce({_NAMES.get(c, c)}, ''), chr(10), ''))" for c in TEXT_COLUMNS)
 
+def drawn(source: str, strata: str, k: str) -> str:
+    lot = "md5(concat_ws('|', CAST(row_id AS VARCHAR), '42'))"
+    return f"(SELECT * FROM {source} QUALIFY row_number() OVER (PARTITION BY {strata} ORDER BY {lot}, row_id) <= {k})"
+
+
+_TONE_BY_DECADE = """decade, count(*) AS documents, round(avg(lm_net_tone), 9) AS mean_net_tone, CAST(sum(lm_positive) AS BIGINT) AS positive_words,
+    CAST(sum(lm_negative) AS BIGINT) AS negative_words, CAST(sum(lm_uncertainty) AS BIGINT) AS uncertainty_words, CAST(sum(lm_token_count) AS BIGINT) AS tokens"""
+
 ORACLE = {
     "clean_keys": BASE + f"SELECT row_id, {clean('title')} AS title_clean, {key('title')} AS title_normalized FROM master",
     "publication_names": BASE + "SELECT row_id, publication_title_normalized, publication_title_display FROM r_display",
@@ -310,7 +319,9 @@ GROUP BY ALL ORDER BY documents DESC, value LIMIT 1000""",
     min(publication_date) AS time_range_start, max(publication_date) AS time_range_end,
     CAST(count(*) FILTER (publication_date IS NULL) AS VARCHAR) AS invalid_or_missing_dates,
     CAST(count(DISTINCT coalesce(source_type, '<missing>')) AS VARCHAR) AS source_type_count,
-    CAST(count(DISTINCT publication_title_normalized) FILTER (language = 'English') AS VARCHAR) AS normalized_publications FROM r)
+    CAST(count(DISTINCT publication_title_normalized) FILTER (language = 'English') AS VARCHAR) AS normalized_publications,
+    (SELECT CAST(sum(least(n, 1200)) AS VARCHAR) FROM (SELECT count(*) AS n FROM e WHERE length(metadata_text) > 5 GROUP BY decade, source_type)) AS topic_sample_rows,
+    'lexicon.parquet' AS lexicon_source FROM r)
 UNPIVOT c ON COLUMNS(*) INTO NAME metric VALUE value""",
     "coverage_metrics": BASE
     + """, c AS (SELECT CAST(count(*) AS VARCHAR) AS raw_rows, CAST(count(*) FILTER (language = 'English') AS VARCHAR) AS english_rows,
@@ -333,6 +344,14 @@ FROM e WHERE decade IS NOT NULL GROUP BY decade""",
     ORDER BY source_partition, row_id) > 1 AS is_conservative_duplicate_extra FROM e""",
     "stratum_sizes": BASE
     + "SELECT decade, source_type, least(count(*), 1200) AS documents FROM e WHERE length(metadata_text) > 5 GROUP BY ALL",
+    "capped_sample": BASE
+    + f""", l AS (SELECT row_id, decade, source_type, partition_family FROM e WHERE length(metadata_text) > 10 AND decade IS NOT NULL),
+c AS (SELECT greatest(15000 // greatest(count(*), 1), 1) AS cap FROM (SELECT DISTINCT decade, source_type, partition_family FROM l))
+SELECT * FROM {drawn('l', 'decade, source_type, partition_family', '(SELECT cap FROM c)')} ORDER BY md5(concat_ws('|', CAST(row_id AS VARCHAR), '43')), row_id LIMIT 15000""",
+    "sampled_tone": BASE + _SCORED + f"SELECT {_TONE_BY_DECADE} FROM {drawn('(SELECT * FROM s WHERE decade IS NOT NULL)', 'decade, source_type', '1200')} GROUP BY decade",
+    "topic_totals": BASE
+    + """, t AS (SELECT decade, coalesce(source_type, '<missing>') AS source_type, length(metadata_text) > 0 AS texted, length(coalesce(title, '')) > 0 AS titled FROM e)
+SELECT decade, source_type, count(*) AS documents, count(*) FILTER (texted) AS with_topic, count(*) FILTER (titled) AS with_title_topic FROM t GROUP BY ALL""",
     "lexicon_lookup": f"SELECT word, array_to_string(list_sort(list(category)), ',') AS categories FROM ({_MEMBERS}) GROUP BY word",
     "lexicon_scores": BASE
     + _SCORED
@@ -344,9 +363,7 @@ FROM e WHERE decade IS NOT NULL GROUP BY decade""",
     + f"SELECT decade, source_type, count(*) AS documents, round(avg(lm_net_tone), 9) AS mean_net_tone, {_SUM_RATES} FROM s GROUP BY ALL",
     "tone_by_decade": BASE
     + _SCORED
-    + """SELECT decade, count(*) AS documents, round(avg(lm_net_tone), 9) AS mean_net_tone, CAST(sum(lm_positive) AS BIGINT) AS positive_words,
-    CAST(sum(lm_negative) AS BIGINT) AS negative_words, CAST(sum(lm_uncertainty) AS BIGINT) AS uncertainty_words,
-    CAST(sum(lm_token_count) AS BIGINT) AS tokens FROM s GROUP BY decade""",
+    + f"SELECT {_TONE_BY_DECADE} FROM s GROUP BY decade",
     "tone_anova": BASE + _SCORED + anova("source_type", "lm_net_tone", "(SELECT * FROM s WHERE year >= 2000 AND lm_token_count > 0)", 7),
     "tone_group_statistics": BASE
     + _SCORED

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,15 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a session of this machine alone gets a temporary one; on a cluster, whose executors would each
+    see a folder of their own, that is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(-cluster)?(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         application = spark.sparkContext.applicationId
         if application not in _OWN:
             _OWN[application] = "file://" + tempfile.mkdtemp(prefix="quirewright-")
@@ -42,6 +49,13 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Remove the intermediate tables of a session once nothing reads them any more; a long session calls it between jobs."""
+    for entry in [e for e in _WRITTEN if e[0] is spark]:
+        remove(*entry)
+        _WRITTEN.remove(entry)
+
+
 def _cleanup() -> None:
     for spark, path in _WRITTEN:
         try:

@@ -8,6 +8,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirewright.schema import CLEAN_COLUMNS, FEATURE_COLUMNS, LEXICON_CATEGORIES, SOURCE_COLUMNS
 from quirewright.session import remove
 
 
@@ -17,14 +18,20 @@ def write_parquet(df: DataFrame, path: str, columns: list[str]) -> None:
 
 
 def rewrite(spark: SparkSession, path: str, change) -> None:
-    """Replace the Parquet table at ``path`` by ``change(table)``: written beside it, then swapped by renaming."""
+    """Replace the Parquet table at ``path`` by ``change(table)``: written beside it, then swapped by renaming.
+
+    If the new table cannot take its place, the old one is put back; a crash in between leaves both beside the path.
+    """
     jvm = spark.sparkContext._jvm
     new, old = f"{path}.new-{uuid.uuid4().hex[:8]}", f"{path}.old-{uuid.uuid4().hex[:8]}"
     change(spark.read.parquet(path)).write.option("compression", "zstd").parquet(new)
-    at = jvm.org.apache.hadoop.fs.Path(path)
+    at, made, kept = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, new, old))
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.rename(at, jvm.org.apache.hadoop.fs.Path(old)) or not fs.rename(jvm.org.apache.hadoop.fs.Path(new), at):
-        raise OSError(f"could not swap {path}; the new table is {new}")
+    if not fs.rename(at, kept):
+        raise OSError(f"could not set {path} aside; the new table is {new}")
+    if not fs.rename(made, at):
+        restored = fs.rename(kept, at)
+        raise OSError(f"could not swap {path}; the new table is {new}" + ("" if restored else f", the old one {old}"))
     remove(spark, old)
     spark.catalog.refreshByPath(path)
 
@@ -55,8 +62,13 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
-def report(title: str, sections: dict[str, DataFrame]) -> str:
-    return "\n\n".join([f"# {title}", *(f"## {name}\n\n{markdown(df)}" for name, df in sections.items())]) + "\n"
+def report(title: str, sections: dict[str, str | DataFrame | tuple[str, DataFrame | None]]) -> str:
+    """A Markdown text: each section holds words, a table, or words and a table (none if there is nothing to show)."""
+    parts = [f"# {title}"]
+    for name, body in sections.items():
+        words, df = body if isinstance(body, tuple) else (body, None) if isinstance(body, str) else ("", body)
+        parts += [p for p in (f"## {name}", words, markdown(df) if df is not None else "") if p]
+    return "\n\n".join(parts) + "\n"
 
 
 def artifacts(spark: SparkSession, root: str) -> DataFrame:
@@ -82,24 +94,60 @@ def copied(spark: SparkSession, source: str, target: str, names: list[str]) -> D
     return spark.createDataFrame(rows, "name STRING, copied BOOLEAN")
 
 
-#: What the output tables and columns hold.
-DICTIONARY = (
-    ("clean_metadata", "Cleaned English records: 31 source columns and 15 derived ones."),
-    ("metadata_features", "English records with normalised names, duplicate flags, topics and word-category scores."),
-    ("source_partition", "Raw partition that delivered the record."),
-    ("partition_family", "Family of the partition, read from its name."),
-    ("goid", "Document identifier; repeats are flagged, never removed."),
-    ("publication_date", "Parsed date, empty where the text is no date."),
-    ("publication_title_normalized", "Name key of the publication."),
-    ("publication_title_canonical", "Representative of the names merged with it."),
-    ("publisher_region", "Country group of the publisher's place, for review where unknown."),
-    ("duplicate_*", "Membership in a group of equal keys, the first record included."),
-    ("is_conservative_duplicate_extra", "Every record after the first of a normalised title, date and publication."),
-    ("lm_*", "Counts and rates of the lexicon's categories in title and terms."),
-    ("topic_*", "Heaviest topic of title and terms; -1 without text."),
-    ("title_only_topic_*", "The same from the title alone."),
-)
+#: What the output tables hold, and their derived columns; source columns are described by the name they have in the raw files.
+TABLES = {
+    "clean_metadata": "English records: the source columns and the columns derived from one record alone.",
+    "metadata_features": "English records: normalised names, duplicate flags, word-category scores and topics.",
+}
+COLUMNS = {
+    "source_partition": "Raw partition that delivered the record.",
+    "partition_family": "Family of the partition, read from its name.",
+    "publication_date": "Date of publication as read from the date text; empty where that is no date.",
+    "year": "Year of publication_date.",
+    "decade": "First year of its decade.",
+    "publisher_city_normalized": "City of the publisher, in title case, known spellings made one.",
+    "publisher_province_normalized": "State or province as written in capitals, or the one a city's spelling tells.",
+    "publisher_region": "Country group of the publisher's place; a note for review where it is unknown.",
+    "publisher_location_normalized": "City and province together.",
+    "primary_author": "First author of the list.",
+    "author_count": "Authors in the list.",
+    "subject_term_count": "Subject terms in the list.",
+    "class_term_count": "Class terms in the list.",
+    "company_count": "Companies in the list.",
+    "pages_numeric": "Pages as a number; empty where the text is none.",
+    "title_normalized": "Words of the title in lower case.",
+    "publication_title_normalized": "Name key of the publication.",
+    "publication_title_canonical": "Representative of the names merged with it.",
+    "publication_title_display": "Name of the publication as written, without brackets and article.",
+    "duplicate_goid": "The identifier stands in other records too.",
+    "duplicate_exact_title_date_publication": "Title, date and publication stand in other records, letter for letter.",
+    "duplicate_normalized_title_date_publication": "The same of their normalised forms.",
+    "duplicate_title_date": "Normalised title and date stand in other records.",
+    "is_conservative_duplicate_extra": "Every record after the first of a normalised title, date and publication.",
+    "lm_token_count": "Words in title and terms.",
+    "lm_net_tone": "Positive less negative words, per word.",
+    "topic_id": "Heaviest topic of title and terms; -1 without text.",
+    "topic_label": "Its five heaviest terms.",
+    "topic_weight": "Its weight.",
+    "title_only_topic_id": "Heaviest topic of the title alone.",
+    "title_only_topic_label": "Its five heaviest terms.",
+    "title_only_topic_weight": "Its weight.",
+}
+
+
+def _described(column: str) -> str:
+    raw = {c: name for name, c in SOURCE_COLUMNS.items()}
+    if column in raw:
+        return f"Source column {raw[column]!r}, as text."
+    for c in LEXICON_CATEGORIES:
+        if column in (f"lm_{c}", f"lm_{c}_rate"):
+            return f"Words of the category {c} in title and terms" + (", per word." if column.endswith("_rate") else ".")
+    return COLUMNS[column]
 
 
 def data_dictionary(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(DICTIONARY), "field STRING, description STRING")
+    """(table_name, field, description): a row per table, with an empty field, and one per column of it."""
+    rows = []
+    for table, columns in zip(TABLES, (CLEAN_COLUMNS, FEATURE_COLUMNS), strict=True):
+        rows += [(table, "", TABLES[table]), *((table, c, _described(c)) for c in columns)]
+    return spark.createDataFrame(rows, "table_name STRING, field STRING, description STRING")

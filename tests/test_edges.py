@@ -46,5 +46,5 @@ def test_empty_tables(spark, tmp_path):
     no_rows = ("clean_table", "final_counts", "duplicate_flags", "group_terms", "media_summary", "alias_audit", "canonical_names", "lexicon_scores", "stratum_sizes", "watched_publications")
     for name in no_rows:
         assert metadata.QUERIES[name](spark, str(tmp_path)).collect() == [], name
-    assert {r.value for r in metadata.QUERIES["core_summary"](spark, str(tmp_path)).collect()} == {"0", None}
+    assert {r.value for r in metadata.QUERIES["core_summary"](spark, str(tmp_path)).collect()} == {"0", None, "lexicon.parquet"}
     assert metadata.QUERIES["missing_profile"](spark, str(tmp_path)).count() == 31

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,19 +107,31 @@ def test_ranks_and_pivot(spark):
 LEX = "Word STRING, Positive INT, NEGATIVE INT, uncertainty INT, litigious INT, constraining INT, strong_modal INT"
 
 
-def test_lexicon(spark, monkeypatch):
+def test_lexicon(spark):
     lexicon = spark.createDataFrame([("Good", 2009, -2020, 0, 0, 0, 0), ("bad", 0, 1, 0, None, 0, 0), ("none", 0, 0, 0, 0, 0, 0)], LEX)
     members = sentiment.lexicon_members(lexicon)
     assert {tuple(r) for r in members.collect()} == {("GOOD", "positive"), ("GOOD", "negative"), ("BAD", "negative")}
     df = spark.createDataFrame([(1, "good good bad day"), (2, "12 %"), (3, None)], "i INT, t STRING")
-    inline = {r.i: r.asDict() for r in sentiment.scores(df, "t", members, ["i"]).collect()}
+    inline = {r.i: r.asDict() for r in sentiment.scores(df, "t", members).collect()}
     assert (inline[1]["lm_token_count"], inline[1]["lm_positive"], inline[1]["lm_negative"], inline[1]["lm_net_tone"]) == (4, 2, 3, -0.25)
     assert inline[2]["lm_net_tone"] == 0 and inline[3]["lm_token_count"] == 0 and inline[1]["lm_weak_modal"] == 0
-    monkeypatch.setattr(sentiment, "INLINE_WORDS", 0)
-    assert {r.i: r.asDict() for r in sentiment.scores(df, "t", members, ["i"]).collect()} == inline
     assert len([c for c in inline[1] if c.startswith("lm_")]) == 2 + 2 * len(LEXICON_CATEGORIES)
 
 
+def test_lexicon_of_thousands_of_words(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh'", k=5)) for _ in range(6000)]
+    table = {w.upper(): {c: rng.randrange(4) == 0 for c in LEXICON_CATEGORIES} for w in words}
+    rows = [(w, *(int(table[w.upper()][c]) for c in LEXICON_CATEGORIES)) for w in words]
+    lexicon = spark.createDataFrame(rows, "word STRING, " + ", ".join(f"{c} INT" for c in LEXICON_CATEGORIES))
+    texts = [" ".join(rng.choices([*words, "zzz"], k=40)) for _ in range(50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i INT, t STRING")
+    for r in sentiment.scores(df, "t", sentiment.lexicon_members(lexicon)).collect():
+        found = [x.upper().replace("-", "") for x in re.findall(r"[A-Za-z][A-Za-z'\-]*", texts[r.i])]
+        assert r.lm_token_count == len(found)
+        assert [r[f"lm_{c}"] for c in LEXICON_CATEGORIES] == [sum(table.get(w, {}).get(c, False) for w in found) for c in LEXICON_CATEGORIES]
+
+
 # -- names ---------------------------------------------------------------------------------------------------------
 
 

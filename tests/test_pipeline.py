@@ -86,7 +86,8 @@ def test_run_and_resume(spark, raw, tmp_path):
     lexicon = spark.createDataFrame([("RISE", 1, 0), ("FALL", 0, 1)], "word STRING, positive INT, negative INT")
     out = f"file://{tmp_path}/out"
     small = pipeline.Settings(n_topics=2, features=50, min_df=2, rounds=4)
-    made = pipeline.run(spark, str(root), lexicon, out, None, small)
+    watch = spark.createDataFrame([("Grain Dock Sun", "local", True), ("Never Seen", "local", True)], "reference_publication STRING, reference_role STRING, expected_in_scope BOOLEAN")
+    made = pipeline.run(spark, str(root), lexicon, out, None, small, watch, "lexicon of the test")
     clean, features = spark.read.parquet(made["clean"]), spark.read.parquet(made["features"])
     assert clean.columns == CLEAN_COLUMNS and features.columns == FEATURE_COLUMNS
     assert clean.count() == features.count() == 150
@@ -94,7 +95,16 @@ def test_run_and_resume(spark, raw, tmp_path):
     assert dict(features.dtypes)["topic_id"] == "smallint" and dict(features.dtypes)["topic_weight"] == "float"
     checks = spark.read.csv(f"{made['csv']}/validation", header=True).collect()
     assert len(checks) == 5 and all(r.passed == "true" for r in checks)
-    assert "## Media summary" in (tmp_path / "out" / "report.md").read_text()
+    report = (tmp_path / "out" / "report.md").read_text()
+    sections = ["Corpus", "Partitions", "Partitions that disagree with the manifest or a side file", "Duplicates", "Source types", "Languages", "Publications", "Topics", "Tone by decade", "Tables", "Limits"]
+    assert [line[3:] for line in report.split("\n") if line.startswith("## ")] == sections and "150 records each" in report
+    read = lambda name: spark.read.csv(f"{made['csv']}/{name}", header=True)
+    core = {r.metric: r.value for r in read("core_summary").collect()}
+    assert core["topic_sample_rows"] == "150" and core["lexicon_source"] == "lexicon of the test"
+    assert [r.reference_publication for r in read("unobserved_publications").collect()] == ["Never Seen"] and read("watched_publications").count() >= 3
+    assert read("data_dictionary").count() == 2 + len(CLEAN_COLUMNS) + len(FEATURE_COLUMNS)
+    for name in ("author_coverage", "group_terms", "group_lexicon_totals", "pages_anova", "tone_anova", "usable_fields", "metadata_depth", "publication_examples", "top_authors", "language_counts", "canonical_rollup"):
+        assert read(name).count() > 0, name
     before = sorted(map(str, features.collect()))
     again = pipeline.resume(spark, out)
     assert sorted(map(str, spark.read.parquet(again["features"]).collect())) == before

@@ -1,4 +1,8 @@
+import math
 import random
+from collections import Counter
+
+import pytest
 
 from quirewright.operators import topics
 
@@ -27,6 +31,24 @@ def test_factors_and_assignment(spark):
     assert [set(t for t, _ in row) for row in again.top_terms(4)] == [set(t for t, _ in row) for row in model.top_terms(4)]
 
 
+def test_weights_against_a_count(spark):
+    rows = texts(spark).collect()
+    v = topics.fit_vectorizer(texts(spark), "t", 200, 5, stop_words=["the", "of"])
+    number = {t: k for k, t in enumerate(v.terms)}
+    words = {r.i: [w for w in r.t.split() if w not in ("the", "of")] for r in rows}
+    grams = {i: w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)] for i, w in words.items()}
+    held = Counter(g for gs in grams.values() for g in set(gs))
+    for r in v.transform(texts(spark), "t").collect():
+        want = {number[g]: n * (math.log((1 + len(rows)) / (1 + held[g])) + 1) for g, n in Counter(grams[r.i]).items() if g in number}
+        size = math.sqrt(sum(x * x for x in want.values()))
+        assert r.idx == sorted(want) and all(abs(x - want[k] / size) < 1e-12 for k, x in zip(r.idx, r.val, strict=True))
+
+
+def test_too_few_documents(spark):
+    with pytest.raises(ValueError, match="must be held by 10"):
+        topics.fit_vectorizer(texts(spark, 5), "t")
+
+
 def test_lda(spark):
     rows = topics.lda_topics(texts(spark), "t", k=3, features=50, min_df=2, n=4).collect()
     assert sum(r.sample_documents for r in rows) == 240 and all(len(r.top_terms.split(", ")) == 4 for r in rows)
