@@ -44,10 +44,12 @@ def _subset(a: Column, b: Column) -> Column:
 
 
 def _word_features(pairs: DataFrame) -> DataFrame:
-    """What two names have in common by their words; ``pairs`` has left, right and the two flags of shared metadata."""
-    rows = pairs.withColumns(
-        {"lk": key(F.col("left")), "rk": key(F.col("right")), "la": name_anchors(F.col("left")), "ra": name_anchors(F.col("right"))}
-    )
+    """What two names have in common by their words; ``pairs`` has left, right and the two flags of shared metadata.
+
+    Keys and anchors (lk, rk, la, ra) that the pairs have already are not made again.
+    """
+    made = {"lk": key(F.col("left")), "rk": key(F.col("right")), "la": name_anchors(F.col("left")), "ra": name_anchors(F.col("right"))}
+    rows = pairs.withColumns({c: x for c, x in made.items() if c not in pairs.columns})
     la, ra = F.col("la"), F.col("ra")
     shared, left_only, right_only = F.array_intersect(la, ra), F.array_except(la, ra), F.array_except(ra, la)
     union = F.size(F.array_union(la, ra))
@@ -105,7 +107,7 @@ def _hopeful(rows: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(media: DataFrame) -> DataFrame:
-    """Pairs of names that the ladder can accept, larger publication on the left (ties by name).
+    """(left, right, shared_publication_id, shared_top_publisher, lk, rk, la, ra): pairs of names that the ladder can accept, larger publication on the left (ties by name).
 
     An accepted pair has equal keys, or shares two anchor words at least and has no conflict, so the anchors of one name
     are a subset of the other's. Each name of two anchors or more is therefore joined by its two rarest together, to the
@@ -127,19 +129,25 @@ def candidate_pairs(media: DataFrame) -> DataFrame:
     large = named.where(F.size("anchors") > 1).withColumn("two", F.explode(F.flatten(several))).join(wanted, "two", "left_semi")
     near = F.abs(F.length("a.name") - F.length("b.name")) <= LENGTH_BAND
     other = F.col("a.name") != F.col("b.name")
-    columns = ["name", "documents", "publication_ids", "publisher"]
+    columns = ["name", "documents", "publication_ids", "publisher", "key", "anchors"]
     both = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "ab" for c in columns]
     by_words = small.alias("a").join(large.alias("b"), (F.col("a.two") == F.col("b.two")) & other & near & _subset(F.col("a.anchors"), F.col("b.anchors"))).select(*both)
     by_key = named.alias("a").join(named.alias("b"), (F.col("a.key") == F.col("b.key")) & other & near).select(*both)
     joined = by_words.union(by_key)
     ids = F.arrays_overlap(F.split(F.coalesce("a_publication_ids", F.lit("")), "; "), F.split(F.coalesce("b_publication_ids", F.lit("")), "; "))
     first = (F.col("a_documents") > F.col("b_documents")) | ((F.col("a_documents") == F.col("b_documents")) & (F.col("a_name") < F.col("b_name")))
-    return joined.select(
-        F.when(first, F.col("a_name")).otherwise(F.col("b_name")).alias("left"),
-        F.when(first, F.col("b_name")).otherwise(F.col("a_name")).alias("right"),
+    of = lambda c, left: F.when(first == left, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}"))
+    pairs = joined.select(
+        of("name", True).alias("left"),
+        of("name", False).alias("right"),
         ids.alias("shared_publication_id"),
         ((F.col("a_publisher") == F.col("b_publisher")) & (F.col("a_publisher") != "")).alias("shared_top_publisher"),
-    ).distinct()
+        of("key", True).alias("lk"),
+        of("key", False).alias("rk"),
+        of("anchors", True).alias("la"),
+        of("anchors", False).alias("ra"),
+    )
+    return written(pairs.distinct(), "pairs")
 
 
 def alias_audit(media: DataFrame) -> DataFrame:
