@@ -26,6 +26,9 @@ _TEXT_EVEN_FIRST = rf"^(?:|(?s).*{DELIMITERS}){WS}*$"
 # private-use marks of an opened or closed quote and of a protected delimiter
 _Q, _SEMI, _BAR, _COMMA, _CR, _LF = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004", "\ue005"
 _PLAIN, _MASK = ";|,\r\n", _SEMI + _BAR + _COMMA + _CR + _LF
+# text that holds such a character itself has it spelt as an escape and a letter meanwhile
+_ESCAPE = "\ue00f"
+_SPELT = {m: _ESCAPE + chr(ord("a") + i) for i, m in enumerate(_ESCAPE + _Q + _MASK + "\ue010\ue011\ue012")}
 
 
 def trimmed(c: Column) -> Column:
@@ -57,6 +60,19 @@ def _unescaped(literal: Column) -> Column:
     return F.when(literal.contains("\\"), F.coalesce(value, F.regexp_replace(literal, r"\\([\"'\\])", "$1"))).otherwise(literal)
 
 
+def _replaced(t: Column, pairs) -> Column:
+    for a, b in pairs:
+        t = F.replace(t, F.lit(a), F.lit(b))
+    return t
+
+
+def _folded_items(t: Column, is_list: Column) -> Column:
+    """The items by ``_fold``, also of a text that holds one of its marks."""
+    safe = F.when(t.rlike("[\ue000-\ue005\ue00f-\ue012]"), _replaced(t, _SPELT.items())).otherwise(t)
+    back = [(spelt, mark) for mark, spelt in reversed(_SPELT.items())]
+    return F.transform(_fold(safe, is_list), lambda x: F.when(x.contains(_ESCAPE), _replaced(x, back)).otherwise(x))
+
+
 def _fold(t: Column, is_list: Column) -> Column:
     """Items of a value whose quotes are escaped, of two kinds, or stray: one pass over its pieces.
 
@@ -132,6 +148,6 @@ def items(c: Column) -> Column:
         .when(is_list & ~has_b & ~has_s & regular('"', good_list), alternate('"', lambda p: empty))
         .when(~is_list & ~has_d, F.split(t, DELIMITERS))
         .when(~is_list & ~has_b & regular('"', good_text), alternate('"', even_text))
-        .otherwise(_fold(t, is_list))
+        .otherwise(_folded_items(t, is_list))
     )
     return F.when(is_missing(c), empty).otherwise(_kept(found))

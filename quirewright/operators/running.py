@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirewright.session import shuffle_width, written
+from quirewright.session import broadcast_if_small, shuffle_width, written
 
 
 def _scan(n_groups: int, value: int):
@@ -58,5 +58,5 @@ def running_sum(df: DataFrame, groups: list[str], order: list[str], value: str,
     before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = local.groupBy(*groups, "_part").agg(F.max("_local").alias("_sum"))
     offsets = sums.select(*groups, "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    joined = local.join(F.broadcast(offsets), [*groups, "_part"])
+    joined = local.join(broadcast_if_small(written(offsets, "offsets")), [*groups, "_part"])
     return joined.select(*df.columns, (F.col("_local") + F.col("_before")).alias(out))

@@ -72,3 +72,10 @@ def test_very_long(spark):
     long = "; ".join(f'"item {i}"' for i in range(30_000))
     df = spark.createDataFrame([(1, long)], "row_id INT, f STRING")
     assert packed_rows(df, ["f"], ["row_id"]).agg(F.max("item_pos"), F.max_by("item", "item_pos")).first()[:] == (30_000, "item 29999")
+
+
+def test_marks_in_the_text(spark):
+    """Characters that the fold uses itself come out as they are."""
+    text = 'a\ue000b; "x ""y\ue001"" ; \ue00f\ue00fb \ue005"; \ue010'
+    rows = spark.createDataFrame([(text,)], "v STRING").select(items(F.col("v")).alias("x")).first().x
+    assert rows == ["a\ue000b", 'x "y\ue001" ; \ue00f\ue00fb \ue005', "\ue010"]
