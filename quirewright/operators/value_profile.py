@@ -2,7 +2,7 @@
 
 ``ValueCounts`` keeps, for each column and load, how often every value occurs. Each delivery adds a segment of signed,
 pre-aggregated deltas (+ for rows that come, - for rows that go); the counts are the sum of all segments, and segments
-are merged when there are many. Every figure of a profile, the entropy included, is exact and comes from the counts:
+of like size are merged when there are many. Every figure of a profile, the entropy included, is exact and comes from the counts:
 the data are not read again.
 """
 
@@ -64,7 +64,9 @@ class ValueCounts:
         return [n for a, b, n in spans if not any((c, d) != (a, b) and c <= a and b <= d for c, d, _ in spans)]
 
     def apply(self, deltas: DataFrame, segment: int | None = None) -> None:
-        """Add one segment of signed deltas; merge the segments when there are ``merge_at``.
+        """Add one segment of signed deltas; merge the newest ones when ``merge_at`` of them are of like size.
+
+        So a small delivery on large counts writes itself only, and a row is rewritten a few times, however many come.
 
         With a ``segment`` number, which must rise from delivery to delivery, a delivery that is applied already is
         left alone, and one that was broken off is written anew.
@@ -77,25 +79,28 @@ class ValueCounts:
         deltas.select("load_id", "column_name", "value", F.col("n").cast("bigint").alias("n")).write.mode("overwrite").option("compression", "zstd").parquet(
             f"{self.path}/{k:09d}-{k:09d}"
         )
-        if len(have) + 1 >= self.merge_at:
-            self._sums().where("n <> 0").write.option("compression", "zstd").parquet(f"{self.path}/{1:09d}-{k:09d}")
-            jvm, root, fs = self._fs()
-            for n in [*have, f"{k:09d}-{k:09d}"]:
+        names = [*have, f"{k:09d}-{k:09d}"]
+        jvm, root, fs = self._fs()
+        sizes = [fs.getContentSummary(jvm.org.apache.hadoop.fs.Path(root, n)).getLength() for n in names]
+        like = 1  # the newest segments, back to the first that is larger than all after it
+        while like < len(names) and sizes[-like - 1] <= sum(sizes[-like:]):
+            like += 1
+        if like >= self.merge_at:
+            merged = f"{names[-like].split('-')[0]}-{k:09d}"
+            self._sums(names[-like:]).where("n <> 0").write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{merged}")
+            for n in names[-like:]:
                 fs.delete(jvm.org.apache.hadoop.fs.Path(root, n), True)
 
-    def _sums(self) -> DataFrame:
-        """The signed sums of all segments; negative where a withdrawal came before its addition."""
-        have = self.segments()
-        if not have:
+    def _sums(self, names: list[str]) -> DataFrame:
+        """The signed sums of segments; negative where a withdrawal came before its addition."""
+        if not names:
             return self.spark.createDataFrame([], _SCHEMA)
-        rows = self.spark.read.schema(_SCHEMA).parquet(*(f"{self.path}/{n}" for n in have))
-        if len(have) > 1:
-            rows = rows.groupBy(*_KEY).agg(F.sum("n").alias("n"))
-        return rows
+        rows = self.spark.read.schema(_SCHEMA).parquet(*(f"{self.path}/{n}" for n in names))
+        return rows.groupBy(*_KEY).agg(F.sum("n").alias("n")) if len(names) > 1 else rows
 
     def counts(self) -> DataFrame:
         """(load_id, column_name, value, n) with n > 0; one row per value."""
-        return self._sums().where("n > 0")
+        return self._sums(self.segments()).where("n > 0")
 
 
 def profile(counts: DataFrame) -> DataFrame:

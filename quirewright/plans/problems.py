@@ -15,6 +15,8 @@ from quirewright.sources.tables import table
 
 PROFILED = ("company_name", "authors", "language_name", "degree")
 SHIFTED = ("degree", "language_name")
+#: The load that ``p6_withdrawn`` takes back.
+WITHDRAWN = 3
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,25 +29,33 @@ def p5_item_counts(spark: SparkSession, folder: str) -> DataFrame:
     return arrays.groupBy("field_name", F.size("field_items").alias("n_items")).agg(F.count(F.lit(1)).alias("records"))
 
 
-def maintained_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """The value counts after every load was delivered in its turn; the records are read once for all of them."""
+def delivered_store(spark: SparkSession, folder: str) -> ValueCounts:
+    """Counts that stand after every load was delivered in its turn; the records are read once for all of them."""
     store = ValueCounts(spark, new_path(spark, "value_counts"))
     deltas = written(value_deltas(table(spark, folder, "master"), PROFILED, "load_id"), "deltas", ["load_id"])
     for (load,) in deltas.select("load_id").distinct().orderBy("load_id").collect():  # a row per load
         store.apply(deltas.where(F.col("load_id").eqNullSafe(load)))
-    return store.counts()
+    return store
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return findings(maintained_counts(spark, folder), SHIFTED)
+    return findings(delivered_store(spark, folder).counts(), SHIFTED)
 
 
 def p6_profile(spark: SparkSession, folder: str) -> DataFrame:
-    out = compared(maintained_counts(spark, folder), SHIFTED).drop("n_rows_before")
+    out = compared(delivered_store(spark, folder).counts(), SHIFTED).drop("n_rows_before")
     digits = ("missing_share", "distinct_ratio", "broken_share", "entropy", "missing_share_before", "distinct_ratio_before", "entropy_before", "shift")
     return out.withColumns({c: F.round(c, 6) for c in digits})
 
 
+def p6_withdrawn(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows and entropy after a load is taken back from the standing counts and its successor is compared anew."""
+    store = delivered_store(spark, folder)
+    store.apply(value_deltas(table(spark, folder, "master").where(F.col("load_id") == WITHDRAWN), PROFILED, "load_id", -1))
+    out = compared(store.counts(), SHIFTED)
+    return out.select("load_id", "column_name", "n_rows", "n_missing", "n_distinct", F.round("entropy", 6).alias("entropy"), F.round("shift", 6).alias("shift"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     values = value_rejects(table(spark, folder, "master"), "row_id", "goid", "date_text", "pages")
     lines = line_rejects(table(spark, folder, "raw_master"), "record_id", "raw_line")
@@ -65,6 +75,7 @@ QUERIES = {
     "p5_item_counts": p5_item_counts,
     "p6_found": p6_found,
     "p6_profile": p6_profile,
+    "p6_withdrawn": p6_withdrawn,
     "p7_found": p7_found,
     "p7_loaded": p7_loaded,
 }
@@ -168,6 +179,8 @@ UNION ALL SELECT load_id, column_name, 'shift' FROM f WHERE shift > 0.25""",
     round(broken_share, 6) AS broken_share, top_value, top_count, round(entropy, 6) AS entropy,
     round(missing_share_before, 6) AS missing_share_before, round(distinct_ratio_before, 6) AS distinct_ratio_before,
     round(entropy_before, 6) AS entropy_before, round(shift, 6) AS shift FROM f""",
+    "p6_withdrawn": _PROFILE.replace("FROM master", f"FROM (SELECT * FROM master WHERE load_id IS DISTINCT FROM {WITHDRAWN})")
+    + "SELECT load_id, column_name, n_rows, n_missing, n_distinct, round(entropy, 6) AS entropy, round(shift, 6) AS shift FROM f",
     "p7_found": _REJECTS,
     "p7_loaded": _LOADED,
 }
