@@ -51,8 +51,12 @@ def mixed(sizes: DataFrame, targets: DataFrame, budget: float, seed: int = 7) ->
     ``mix_end`` is the sum of tokens so far; the first document beyond the budget ends the mix.
     """
     wanted = targets.where("source IS NOT NULL AND target_share > 0 AND max_repeats > 0").select("source", "target_share", "max_repeats")
-    uses = sizes.join(broadcast_if_small(wanted), "source").select(
-        "source", "doc_id", "tokens", "target_share", F.explode(F.sequence(F.lit(0), F.col("max_repeats") - 1)).alias("repeat")
+    # whole passes over a source that alone are more than the budget; later ones lie beyond it whatever the others give
+    have = sizes.groupBy("source").agg(F.sum("tokens").alias("source_tokens"))
+    passes = F.ceil(F.lit(float(budget)) / F.nullif("source_tokens", F.lit(0))) + 1
+    wanted = wanted.join(have, "source").select("source", "target_share", F.least("max_repeats", F.coalesce(passes, "max_repeats")).cast("int").alias("repeats"))
+    uses = sizes.join(broadcast_if_small(written(wanted, "wanted")), "source").select(
+        "source", "doc_id", "tokens", "target_share", F.explode(F.sequence(F.lit(0), F.col("repeats") - 1)).alias("repeat")
     )
     shuffled = uses.withColumn("turn", F.xxhash64("doc_id", "repeat", F.lit(seed)))
     queued = running_sum(shuffled, ["source"], ["repeat", "turn", "doc_id"], "tokens", "source_tokens")

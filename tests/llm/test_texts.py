@@ -69,6 +69,12 @@ def test_mixture_keeps_weights_and_caps(spark):
     assert not first or min(r.finish for r in first) > max(r.finish for r in mix if r.source == "mid" and r.repeat == 0)
     assert {tuple(r) for r in mix} == {tuple(r) for r in mixture.mixed(sizes.repartition(3), targets, budget).collect()}
     assert mixture.mixed(sizes.limit(0), targets, budget).count() == 0
+    often = spark.createDataFrame([("tiny", 1.0, 100_000), ("empty", 0.5, 3)], "source STRING, target_share DOUBLE, max_repeats INT")
+    few = spark.createDataFrame([(1, "tiny", 7), (2, "tiny", 0), (3, "tiny", 2), (4, "empty", 0)], "doc_id BIGINT, source STRING, tokens BIGINT")
+    assert sorted((r.doc_id, r.repeat) for r in mixture.mixed(few, often, 30).where("source = 'tiny' AND tokens > 0").collect()) in (
+        sorted([(d, k) for d in (1, 3) for k in range(3)] + [(3, 3)]), sorted([(d, k) for d in (1, 3) for k in range(3)])
+    )
+    assert mixture.mixed(few, often, 30).where("source = 'empty'").count() == 3
 
 
 @pytest.mark.skipif(not os.path.exists(mixture.TOKENIZER), reason="no tokenizer file")
