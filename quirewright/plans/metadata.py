@@ -299,6 +299,32 @@ def alias_audit(spark, folder):
     return rounded(resolve.alias_audit(media_of(spark, folder)))
 
 
+def word_audit(media: DataFrame) -> DataFrame:
+    """The outcome of the ladder for every candidate pair as if all characters agreed: what words and metadata alone decide."""
+    return resolve.compared_names(resolve.candidate_pairs(media), F.lit(1.0)).withColumnsRenamed({"left": "publication_left", "right": "publication_right"})
+
+
+def alias_decisions(spark, folder):
+    return word_audit(media_of(spark, folder)).select("publication_left", "publication_right", "recommendation", "auto_merge", "needs_review")
+
+
+def canonical_names_by_words(spark, folder):
+    media = media_of(spark, folder)
+    return resolve.canonical_map(media, word_audit(media))
+
+
+def canonical_rollup_by_words(spark, folder):
+    media = media_of(spark, folder)
+    return summaries.canonical_rollup(media, resolve.canonical_map(media, word_audit(media)))
+
+
+def canonical_media_by_words(spark, folder):
+    """The media summary by the canonical names that words alone decide."""
+    media = media_of(spark, folder)
+    mapping = written(resolve.canonical_map(media, word_audit(media)), "canonical")
+    return rounded(summaries.media_summary(resolve.canonicalised(english_records(spark, folder), mapping)))
+
+
 def canonical_names(spark, folder):
     media = media_of(spark, folder)
     return resolve.canonical_map(media, resolve.alias_audit(media))
@@ -414,7 +440,8 @@ QUERIES = {
         author_coverage_since_2000, metadata_depth, duplicate_summary, duplicate_flags, stratum_sizes, capped_sample,
         lexicon_lookup, lexicon_scores, tone_by_decade_and_source, tone_by_decade, sampled_tone, tone_anova,
         tone_group_statistics, pages_anova, group_sizes, group_terms, group_lexicon_totals, object_type_by_decade_share,
-        media_summary, publication_examples, alias_pairs, alias_audit, canonical_names, canonical_components, canonical_media,
+        media_summary, publication_examples, alias_pairs, alias_decisions, canonical_names_by_words, canonical_rollup_by_words, canonical_media_by_words,
+        alias_audit, canonical_names, canonical_components, canonical_media,
         canonical_rollup, watched_publications, unobserved_publications, tfidf_vectors, nmf_topic_terms, nmf_topics,
         topic_counts, topic_by_decade, topic_by_source_type, topic_share_by_decade, topic_totals, notebook_topic_terms, lda_topics,
     )

@@ -177,28 +177,32 @@ _LONG = "SELECT * FROM {t} WHERE length(metadata_text) > 10"
 _STOP = lits(sorted({w.upper().replace("-", "") for w in ENGLISH_STOP_WORDS + CORPUS_STOP_WORDS}))
 
 
-def mode(c: str) -> str:
+def mode(c: str, name: str, rows: str) -> str:
     return (
-        f"(SELECT p AS name, coalesce(v, '') AS v FROM (SELECT publication_title_normalized AS p, {c} AS v, count(*) AS n FROM e "
+        f"(SELECT p AS name, coalesce(v, '') AS v FROM (SELECT {name} AS p, {c} AS v, count(*) AS n FROM {rows} "
         f"WHERE {c} IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY p ORDER BY n DESC, v) = 1)"
     )
 
 
-def firsts(c: str, k: int) -> str:
-    return f"(SELECT publication_title_normalized AS name, array_to_string(list_sort(list(DISTINCT {c}))[1:{k}], '; ') AS v FROM e WHERE {c} IS NOT NULL GROUP BY 1)"
+def firsts(c: str, k: int, name: str, rows: str) -> str:
+    return f"(SELECT {name} AS name, array_to_string(list_sort(list(DISTINCT {c}))[1:{k}], '; ') AS v FROM {rows} WHERE {c} IS NOT NULL GROUP BY 1)"
 
 
-_MEDIA = f"""media AS (SELECT b.*, coalesce(d.v, '') AS display_publication_title, coalesce(nv.v, '') AS normalized_variants, coalesce(pi.v, '') AS publication_ids,
+def media(table: str, name: str, rows: str) -> str:
+    return f"""{table} AS (SELECT b.*, coalesce(d.v, '') AS display_publication_title, coalesce(nv.v, '') AS normalized_variants, coalesce(pi.v, '') AS publication_ids,
     coalesce(st.v, '') AS top_source_type, coalesce(pu.v, '') AS top_publisher, coalesce(re.v, '') AS top_publisher_region
-FROM (SELECT publication_title_normalized AS publication_title_canonical, count(*) AS documents, min(year) AS first_year, max(year) AS last_year,
-    count(DISTINCT primary_author) AS unique_authors, round(avg(subject_term_count), 9) AS avg_subject_terms FROM e GROUP BY 1) b
-LEFT JOIN {mode('publication_title_display')} d ON d.name = publication_title_canonical
-LEFT JOIN {firsts('publication_title_normalized', 8)} nv ON nv.name = publication_title_canonical
-LEFT JOIN {firsts('publication_id', 5)} pi ON pi.name = publication_title_canonical
-LEFT JOIN {mode('source_type')} st ON st.name = publication_title_canonical
-LEFT JOIN {mode('publisher_name')} pu ON pu.name = publication_title_canonical
-LEFT JOIN {mode('publisher_region')} re ON re.name = publication_title_canonical)
+FROM (SELECT {name} AS publication_title_canonical, count(*) AS documents, min(year) AS first_year, max(year) AS last_year,
+    count(DISTINCT primary_author) AS unique_authors, round(avg(subject_term_count), 9) AS avg_subject_terms FROM {rows} GROUP BY 1) b
+LEFT JOIN {mode('publication_title_display', name, rows)} d ON d.name = publication_title_canonical
+LEFT JOIN {firsts('publication_title_normalized', 8, name, rows)} nv ON nv.name = publication_title_canonical
+LEFT JOIN {firsts('publication_id', 5, name, rows)} pi ON pi.name = publication_title_canonical
+LEFT JOIN {mode('source_type', name, rows)} st ON st.name = publication_title_canonical
+LEFT JOIN {mode('publisher_name', name, rows)} pu ON pu.name = publication_title_canonical
+LEFT JOIN {mode('publisher_region', name, rows)} re ON re.name = publication_title_canonical)
 """
+
+
+_MEDIA = media("media", "publication_title_normalized", "e")
 _EXAMPLES = " UNION ALL ".join(
     f"SELECT publication_title_normalized, '{c}' AS example_kind, {c} AS value, count(*) AS documents FROM e WHERE {c} <> '' GROUP BY ALL"
     for c in ("publication_title", "publication_id", "publisher_name", "source_type")
@@ -230,6 +234,21 @@ FROM n l JOIN n r ON (l.documents > r.documents OR (l.documents = r.documents AN
     AND abs(length(l.name) - length(r.name)) <= 18
     AND ({key('l.name')} = {key('r.name')} OR (len(list_intersect(l.a, r.a)) > 1 AND (list_has_all(l.a, r.a) OR list_has_all(r.a, l.a))))"""
 
+_DECIDED = f"""{_ALIAS.replace('SELECT l.name AS "left"', ', pairs AS (SELECT l.name AS "left"', 1)}),
+d AS (SELECT *, {key('"left"')} = {key('"right"')} AS exact, shared_publication_id OR shared_top_publisher AS support,
+    shared_anchor_tokens NOT LIKE '%; %' AS low FROM pairs),
+decisions AS (SELECT "left" AS publication_left, "right" AS publication_right, CASE WHEN exact THEN 'auto-merge; exact normalized publication'
+    WHEN same_anchor_tokens AND low THEN 'keep separate; low-information anchor tokens' WHEN same_anchor_tokens THEN 'auto-merge; same anchor tokens'
+    WHEN low THEN 'keep separate; low-information subset anchors'
+    WHEN shared_publication_id THEN 'auto-merge; subset anchor tokens with shared publication id'
+    WHEN support AND token_overlap >= 0.6 THEN 'review; metadata-backed near match'
+    WHEN token_overlap >= 0.75 THEN 'review; strong title overlap' ELSE 'keep separate; low evidence' END AS recommendation FROM d)"""
+_EDGES = """edges AS (SELECT publication_left AS a, publication_right AS b FROM decisions WHERE starts_with(recommendation, 'auto-merge')
+    UNION SELECT publication_right, publication_left FROM decisions WHERE starts_with(recommendation, 'auto-merge')),
+reach AS (SELECT publication_title_canonical AS node, publication_title_canonical AS seen FROM media UNION SELECT reach.node, edges.b FROM reach JOIN edges ON edges.a = reach.seen),
+mapping AS (SELECT node AS publication_title, seen AS canonical_title FROM reach JOIN media ON publication_title_canonical = seen
+    QUALIFY row_number() OVER (PARTITION BY node ORDER BY documents DESC, length(seen), seen) = 1)"""
+_MERGED = BASE.replace("WITH ", "WITH RECURSIVE ", 1) + f"{_DECIDED}, {_EDGES}"
 _WATCHED = f""", {_MEDIA}, o AS (SELECT *, {publication_key('publication_title_canonical')} AS publication_key,
     CAST(row_number() OVER (ORDER BY documents DESC, publication_title_canonical) AS INTEGER) AS corpus_rank FROM media),
 w AS (SELECT *, {publication_key('reference_publication')} AS publication_key FROM watch_list),
@@ -400,6 +419,16 @@ PIVOT h ON decade USING coalesce(sum(share), 0) GROUP BY object_type""",
     + f""", x AS ({_EXAMPLES})
 SELECT *, CAST(row_number() OVER (PARTITION BY publication_title_normalized, example_kind ORDER BY documents DESC, value) AS INTEGER) AS rank FROM x QUALIFY rank <= 3""",
     "alias_pairs": BASE + _ALIAS,
+    "alias_decisions": BASE
+    + _DECIDED
+    + """SELECT *, starts_with(recommendation, 'auto-merge') AS auto_merge, starts_with(recommendation, 'review') AS needs_review FROM decisions""",
+    "canonical_names_by_words": _MERGED + "SELECT * FROM mapping",
+    "canonical_rollup_by_words": _MERGED
+    + """SELECT canonical_title, CAST(sum(documents) AS BIGINT) AS english_documents, first(display_publication_title ORDER BY documents DESC, publication_title) AS display_publication_title,
+    array_to_string(list_sort(list(DISTINCT publication_title))[1:5], '; ') AS normalized_variants
+FROM mapping JOIN media ON publication_title_canonical = publication_title GROUP BY 1""",
+    "canonical_media_by_words": _MERGED
+    + f", ec AS (SELECT e.*, canonical_title FROM e JOIN mapping ON mapping.publication_title = publication_title_normalized), {media('merged', 'canonical_title', 'ec')} SELECT * FROM merged",
     "canonical_components": BASE.replace("WITH ", "WITH RECURSIVE ", 1)
     + """, p AS (SELECT DISTINCT publication_id, publication_title_normalized AS name FROM e WHERE publication_id IS NOT NULL),
 c AS (SELECT name AS node, name AS seen FROM p UNION SELECT c.node, b.name FROM c JOIN p a ON a.name = c.seen JOIN p b ON b.publication_id = a.publication_id)
