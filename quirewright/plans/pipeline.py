@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quirewright.operators import duplicates, profiling, resolve, sampling, sentiment, summaries, topics
 from quirewright.operators.prepare import prepared
+from quirewright.plans.notebook import notebook
 from quirewright.schema import CLEAN_COLUMNS, FEATURE_COLUMNS, require
 from quirewright.session import written
 from quirewright.sources import partitions, sinks
@@ -184,6 +185,8 @@ def finish(
         "Limits": "The texts of the documents are not part of the records. Terms are the provider's. Names are merged only where words or shared metadata support it; the others are for review.",
     }
     sinks.write_text(spark, f"{out}/report.md", sinks.report("Document metadata", sections))
+    extra = ("watched_publications", "unobserved_publications") if watch_list is not None else ()
+    sinks.write_text(spark, f"{out}/exploration.ipynb", notebook("Document metadata", out, extra))
     checks = validated(spark, feature_path)
     sinks.write_csv(checks, f"{out}/csv/validation")
     summary = [("feature_rows", count), ("publications", media.count()), ("merged_names", mapping.where("publication_title <> canonical_title").count())]
@@ -201,7 +204,7 @@ def resume(spark: SparkSession, out: str, watch_list: DataFrame | None = None) -
 
 
 #: Outputs that are delivered.
-DELIVERED = ("tables/clean_metadata", "tables/metadata_features", "csv/media_summary", "csv/publication_alias_audit", "csv/topic_terms", "csv/topic_counts", "csv/tone_by_decade", "csv/core_summary", "csv/partition_quality", "csv/duplicate_summary", "csv/data_dictionary", "report.md")
+DELIVERED = ("tables/clean_metadata", "tables/metadata_features", "csv/media_summary", "csv/publication_alias_audit", "csv/topic_terms", "csv/topic_counts", "csv/tone_by_decade", "csv/core_summary", "csv/partition_quality", "csv/duplicate_summary", "csv/data_dictionary", "report.md", "exploration.ipynb")
 
 
 def deliver(spark: SparkSession, out: str, target: str) -> DataFrame:

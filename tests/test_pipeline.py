@@ -1,4 +1,5 @@
 import csv
+import json
 import random
 import zipfile
 
@@ -105,6 +106,9 @@ def test_run_and_resume(spark, raw, tmp_path):
     assert read("data_dictionary").count() == 2 + len(CLEAN_COLUMNS) + len(FEATURE_COLUMNS)
     for name in ("author_coverage", "group_terms", "group_lexicon_totals", "pages_anova", "tone_anova", "usable_fields", "metadata_depth", "publication_examples", "top_authors", "language_counts", "canonical_rollup"):
         assert read(name).count() > 0, name
+    cells = json.loads((tmp_path / "out" / "exploration.ipynb").read_text())["cells"]
+    shown = [c["source"][0][6:-2] for c in cells if c["source"][0].startswith("show(")]
+    assert len(shown) > 25 and all((tmp_path / "out" / "csv" / name).is_dir() for name in shown)
     before = sorted(map(str, features.collect()))
     again = pipeline.resume(spark, out)
     assert sorted(map(str, spark.read.parquet(again["features"]).collect())) == before
