@@ -188,6 +188,51 @@ k AS (SELECT city, array_to_string({_PLAIN.format(c='city')}, '') AS k FROM t)
 SELECT city, place_id, CAST(min(levenshtein(k, name)) AS INTEGER) AS errors FROM k JOIN n
     ON levenshtein(k, name) <= CASE WHEN length(k) < 4 THEN 0 WHEN length(k) < 7 THEN 1 ELSE 2 END WHERE k <> '' GROUP BY ALL
 """
+_TAIL = "|".join(p.replace(".", " ") for k in (places.COUNTRY, places.AFTER) for p in AROUND[k])
+_HEAD = "|".join(AROUND[places.BEFORE])
+
+
+def _bare(x: str) -> str:
+    """Typed words without numbers and the words around a name, taken off one after the other."""
+    for _ in range(4):
+        x = f"regexp_replace(regexp_replace({x}, '^(.+?) (?:[0-9]+|{_TAIL})$', '\\1'), '^(?:{_HEAD}) (.+)$', '\\1')"
+    return x
+
+
+_WORDS = "array_to_string(" + _PLAIN + ", ' ')"
+_CODES = ", ".join("('{}', '{}')".format(*pair.replace(".", "").split("=")) for pair in PROVINCES.split())
+_ALLOWED = "CASE WHEN length({k}) < 4 THEN 0 WHEN length({k}) < 7 THEN 1 ELSE 2 END"
+_MEANT = f"""
+WITH r AS (SELECT place_id, coalesce(province, '') AS province, {_PLAIN.format(c='city')} AS w FROM place_reference WHERE city IS NOT NULL),
+n AS (SELECT place_id, array_to_string(w, '') AS name FROM r
+    UNION ALL SELECT place_id, alias || array_to_string(w[2:], '') FROM r JOIN (VALUES {_FIRST}) a(word, alias) ON w[1] = word),
+pk AS (SELECT DISTINCT * FROM (SELECT replace({_WORDS.format(c='province')}, ' ', '') AS key, province AS code FROM place_reference
+    UNION ALL SELECT replace({_WORDS.format(c='province_name')}, ' ', ''), province FROM place_reference
+    UNION ALL SELECT alias, code FROM (VALUES {_CODES}) a(code, alias) WHERE code IN (SELECT province FROM place_reference)) WHERE key <> ''),
+m AS (SELECT row_id, publisher_city AS city, publisher_province AS province FROM master WHERE {ps.present('publisher_city')}
+    AND NOT EXISTS (SELECT 1 FROM place_reference p WHERE p.city = publisher_city AND p.province = publisher_province)),
+t AS (SELECT *, {_bare('cw')} AS cs FROM (SELECT DISTINCT city, province, {_WORDS.format(c='city')} AS cw,
+    {_bare(_WORDS.format(c=f"(CASE WHEN {ps.present('province')} THEN province ELSE '' END)"))} AS pw FROM m)),
+k AS (SELECT replace(pw, ' ', '') AS key FROM t UNION SELECT replace(cs, ' ', '') FROM t),
+pc AS (SELECT k.key, CASE WHEN max(pk.key = k.key) THEN max(code) FILTER (pk.key = k.key) WHEN count(DISTINCT code) = 1 THEN max(code) END AS code
+    FROM k JOIN pk ON pk.key = k.key OR (length(k.key) >= 7 AND length(pk.key) >= 7 AND levenshtein(pk.key, k.key) <= 1) GROUP BY 1),
+h AS (SELECT city, province, CASE WHEN pw <> '' AND a.code IS NULL AND b.code IS NOT NULL THEN pw ELSE cw END AS w,
+    CASE WHEN pw <> '' THEN coalesce(a.code, b.code, '?') END AS hint
+    FROM t LEFT JOIN pc a ON a.key = replace(pw, ' ', '') LEFT JOIN pc b ON b.key = replace(cs, ' ', '')),
+s AS (SELECT *, {_bare('w')} AS bare FROM h),
+l AS (SELECT *, string_split(bare, ' ') AS parts FROM s),
+x AS (SELECT city, province, hint, 0 AS turn, w, NULL AS code FROM s UNION ALL SELECT city, province, hint, 1, bare, NULL FROM s WHERE bare <> w
+    UNION ALL SELECT city, province, hint, 1 + i, {_bare("array_to_string(parts[:len(parts) - i], ' ')")}, pk.code
+    FROM (SELECT *, unnest([1, 2, 3]) AS i FROM l) JOIN pk ON i < len(parts) AND pk.key = array_to_string(parts[len(parts) - i + 1:], '')),
+y AS (SELECT city, province, hint, turn, code, replace(w, ' ', '') AS key FROM x),
+c AS (SELECT y.*, place_id, levenshtein(key, name) AS errors FROM y JOIN n ON key <> '' AND levenshtein(key, name) <= {_ALLOWED.format(k='key')}),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY city, province, place_id ORDER BY errors, turn) = 1),
+f AS (SELECT b.city, b.province, place_id, (hint IS NULL OR hint = r.province) AND (code IS NULL OR code = r.province) AS agrees
+    FROM b JOIN r USING (place_id) QUALIFY errors = min(errors) OVER (PARTITION BY b.city, b.province)),
+g AS (SELECT city, province, count(*) FILTER (agrees) AS fits, max(place_id) FILTER (agrees) AS place FROM f GROUP BY ALL),
+o AS (SELECT m.*, CASE WHEN fits = 1 THEN place ELSE 0 END AS place_id, CASE WHEN fits = 1 THEN 'matched' WHEN fits > 1 THEN 'ambiguous' ELSE 'unlisted' END AS status
+    FROM m LEFT JOIN g ON g.city = m.city AND g.province IS NOT DISTINCT FROM m.province)
+"""
 _LEAKS = """
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all(lower(item_text), '[\\p{L}\\p{N}]+') AS w FROM eval_items),
@@ -213,6 +258,10 @@ ORACLE = {
     "p2_found": _TERMS + "SELECT field_name, term, mark FROM m WHERE mark IS NOT NULL",
     "p2_terms": _TERMS + "SELECT field_name, term, occurrences, records, round(share, 9) AS share, coalesce(mark, '-') AS mark FROM m",
     "p3_found": _NAMED + "SELECT field_name, item FROM c QUALIFY n >= 0.005 * sum(n) OVER (PARTITION BY field_name)",
+    "p4_found": _MEANT + "SELECT row_id, CAST(place_id AS BIGINT) AS place_id FROM o",
+    "p4_unmatched": _MEANT
+    + f"""SELECT trim(city, {ps.BLANKS}) AS city, coalesce(trim(province, {ps.BLANKS}), '') AS province, status, count(*) AS records
+FROM o WHERE place_id = 0 GROUP BY ALL""",
     "p4_candidates": _CANDIDATES,
     "p8_found": _LEAKS + "SELECT DISTINCT item_id, doc_id FROM runs",
     "p8_items": _LEAKS + "SELECT item_id, count(DISTINCT doc_id) AS documents, CAST(max(words) AS INTEGER) AS longest_run FROM runs GROUP BY item_id",
