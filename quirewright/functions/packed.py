@@ -60,6 +60,11 @@ def _unescaped(literal: Column) -> Column:
     return F.when(literal.contains("\\"), F.coalesce(value, F.regexp_replace(literal, r"\\([\"'\\])", "$1"))).otherwise(literal)
 
 
+def _once(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` evaluated once, also where ``then`` uses it for every element of an array."""
+    return F.get(F.transform(F.array(value), lambda v: then(v)), F.lit(0))
+
+
 def _replaced(t: Column, pairs) -> Column:
     for a, b in pairs:
         t = F.replace(t, F.lit(a), F.lit(b))
@@ -67,13 +72,16 @@ def _replaced(t: Column, pairs) -> Column:
 
 
 def _folded_items(t: Column, is_list: Column) -> Column:
-    """The items by ``_fold``, also of a text that holds one of its marks."""
+    """The items by ``_fold``, also of a text that holds one of its marks. What every item needs is evaluated once."""
     safe = F.when(t.rlike("[\ue000-\ue005\ue00f-\ue012]"), _replaced(t, _SPELT.items())).otherwise(t)
     back = [(spelt, mark) for mark, spelt in reversed(_SPELT.items())]
-    return F.transform(_fold(safe, is_list), lambda x: F.when(x.contains(_ESCAPE), _replaced(x, back)).otherwise(x))
+    quote = F.when(is_list & ~t.contains('"'), F.lit("'")).otherwise(F.lit('"'))
+    once = F.struct(safe.alias("t"), is_list.alias("is_list"), quote.alias("quote"))
+    found = _once(once, lambda v: _fold(v["t"], v["is_list"], v["quote"]))
+    return F.transform(found, lambda x: F.when(x.contains(_ESCAPE), _replaced(x, back)).otherwise(x))
 
 
-def _fold(t: Column, is_list: Column) -> Column:
+def _fold(t: Column, is_list: Column, char: Column) -> Column:
     """Items of a value whose quotes are escaped, of two kinds, or stray: one pass over its pieces.
 
     The state is the open quote and the text so far, in which delimiters inside quotes are masked. A quote opens
@@ -105,7 +113,6 @@ def _fold(t: Column, is_list: Column) -> Column:
         y = trimmed(x)
         quoted = y.startswith(_Q) & y.endswith(_Q) & (F.length(y) > 1)
         body = F.when(quoted, F.substring(y, F.lit(2), F.length(y) - 2)).otherwise(y)
-        char = F.when(is_list & ~t.contains('"'), F.lit("'")).otherwise(F.lit('"'))
         body = F.replace(F.replace(body, F.lit(_Q * 2), char), F.lit(_Q), char)
         body = F.translate(body, _MASK, _PLAIN)
         return F.when(quoted, _unescaped(body)).when(is_list & (body == "None"), F.lit("")).otherwise(body)
@@ -128,9 +135,11 @@ def items(c: Column) -> Column:
         return F.flatten(F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.array(p)).otherwise(even(p))))
 
     def regular(quote: str, good) -> Column:
-        pieces = F.split(t, quote)
-        checked = F.transform(pieces, lambda p, i: (i % 2 == 1) | good(p, i, F.size(pieces) - 1))
-        return (F.size(pieces) % 2 == 1) & F.forall(checked, lambda x: x)
+        def checked(pieces: Column) -> Column:
+            each = F.transform(pieces, lambda p, i: (i % 2 == 1) | good(p, i, F.size(pieces) - 1))
+            return (F.size(pieces) % 2 == 1) & F.forall(each, lambda x: x)
+
+        return _once(F.split(t, quote), checked)
 
     def good_list(p: Column, i: Column, last: Column) -> Column:
         return p.rlike(_LIST_EVEN) & ((i == 0) | (i == last) | p.contains(","))
